@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_groups
 from .mixing import BUCKETS, SEED, mix
+from .substring_dedup import remove_repeats
 from .url_filter import judge_urls
 
 
@@ -27,6 +28,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows that occur earlier."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 #: A-Z lower-cased in DuckDB.
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
