@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +19,19 @@ def ascii_lower(text: Column) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from there.
+    """Write `df` as a Parquet table in the shared checkpoint folder and go on from there.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is
-    a folder made here.  The files survive lost executors, unlike a local checkpoint.
+    one made here.  The files survive lost executors, unlike a local checkpoint; they go with the folder.
+    A table, not ``DataFrame.checkpoint``: that keeps the optimiser's size estimates, which the joins of
+    a loop multiply round by round, while a table is as large as its files.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -35,3 +40,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Most keys that `join_counted` broadcasts.
+HOT_KEYS = 4096
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """left JOIN right on `key`, safe for keys that hold any part of `left`.
+
+    `right` has one row per key, with `n`, the key's rows in `left`; it should be cheap to read twice.
+    Keys with at least 1/`HOT_KEYS` of the counted rows, so at most `HOT_KEYS` of them, are broadcast and
+    joined where the rows lie; the others are shuffled, and none of them is large.
+    """
+    total = right.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") >= max(2.0, total / HOT_KEYS)
+    few, many = right.filter(hot).drop("n"), right.filter(~hot).drop("n")
+    at_once = left.join(F.broadcast(few), key)
+    return at_once.unionByName(left.join(F.broadcast(few.select(*key)), key, "left_anti").join(many, key, how))

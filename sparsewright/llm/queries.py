@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_groups
 from .mixing import BUCKETS, SEED, mix
+from .near_dedup import near_duplicates
 from .substring_dedup import remove_repeats
 from .url_filter import judge_urls
 
@@ -18,6 +19,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of near duplicates that it is in."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every url of pages judged by the rules."""
     return judge_urls(table(spark, sf_dir, "pages"))

@@ -22,3 +22,52 @@ def repeats_removed(rows, depth=20):
         left = " ".join(x for k, x in enumerate(w) if k not in gone)
         out[i] = (len(w), len(gone), hashlib.sha256(left.encode()).hexdigest())
     return out
+
+
+def _lower(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+def shingle_bag(text, size=5):
+    from collections import Counter
+
+    w = WORD.findall(_lower(text))
+    return Counter(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else Counter([tuple(w)] if w else [])
+
+
+def probability_jaccard(a, b):
+    total = 0.0
+    for d in a.keys() & b.keys():
+        total += 1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in a.keys() | b.keys())
+    return total
+
+
+def near_classes(rows, similarity=0.8):
+    """{doc_id: smallest doc_id of its class}, all pairs compared."""
+    rows = sorted((i, t or "") for i, t in rows)
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    by_text, bags = {}, {}
+    for i, t in rows:
+        first = by_text.setdefault(_lower(t), i)
+        parent[i] = first
+        if first == i:
+            bags[i] = shingle_bag(t)
+    holders = {}
+    for i, b in bags.items():
+        for s in b:
+            holders.setdefault(s, []).append(i)
+    pairs = {(x, y) for h in holders.values() for x in h for y in h if x < y}
+    for x, y in pairs:
+        a, b = bags[x], bags[y]
+        if len(a & b) * 1.0 / max(len(a), len(b), 1) < 0.3 and max([*a.values(), *b.values()]) == 1:
+            continue
+        if find(x) != find(y) and probability_jaccard(a, b) >= similarity:
+            lo, hi = sorted((find(x), find(y)))
+            parent[hi] = lo
+    return {i: find(i) for i, _ in rows}
