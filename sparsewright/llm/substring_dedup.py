@@ -8,9 +8,10 @@ A suffix starts at every word.  Only those whose first `DEPTH` words occur again
    Windows whose run occurs once cannot repeat and go no further.
 2. Prefix partitioning: the other suffixes are grouped by that run, a prefix of the part of the suffix
    that leads the group, and a group of at most `GROUP` runs is sent to one task.  A more frequent run
-   would make an unbounded group; its suffixes take the longest prefix, all `DEPTH` words, instead.
-   At that length a group is one deep node, so a map-side combined minimum finds its first occurrence,
-   and a salted join tells the others.
+   would make an unbounded group; its suffixes take the longest prefixes instead: first all the words of
+   the windows that designate the run in a text, then, for the first text with just these words, the
+   `DEPTH` words of each window.  At that length a group is one deep node, so a map-side combined
+   minimum finds its first occurrence, and a salted join tells the others.
 3. In a task the suffixes of whole groups become a tree top-down: a node is split by its suffixes' next
    words, those alone in their node are leaves and leave.  Nodes that reach `DEPTH` words with two or
    more suffixes are the deep internal nodes: windows that occur again.  All but the first occurrence in
@@ -80,7 +81,7 @@ def _listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _suffixes(depth: int, anchor: int):
-    """Records of consecutive windows of one run: cold ones with their words, hot ones a row per window."""
+    """Records: the consecutive windows that designate one run, with the names of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,20 +96,10 @@ def _suffixes(depth: int, anchor: int):
                         continue
                     mine = np.isin(keyed, mix(value.astype(np.int64).view(_U) ^ mix(row.astype(_U))))
                     s, a, key = start[mine], at[mine], name[mine]
-                    if kind == "cold":
-                        head = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-                        count = np.diff(np.append(head, len(a)))
-                    else:  # a window is a group of its own: two names of all its words
-                        head, count = np.arange(len(s)), np.ones(len(s), np.int64)
+                    head = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
+                    count = np.diff(np.append(head, len(a)))
                     s, a, key, length = s[head], a[head], key[head], count + depth - 1
-                    content = pieces(w.name, s, length)
-                    if kind == "hot":
-                        content = content.reshape(-1, depth)
-                        factors = mix(np.arange(1, 2 * depth + 1, dtype=_U)).reshape(2, depth) | _U(1)
-                        key, other = mix(content @ factors[0]), mix(content @ factors[1])
-                        content = binary_column(other, np.ones(len(s), np.int64))
-                    else:
-                        content = binary_column(content, length)
+                    content = binary_column(pieces(w.name, s, length), length)
                     at_row = w.row[s]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key.view(np.int64)), pa.array(ids[at_row]), pa.array(s - w.first[at_row]), pa.array(a - s), content, pa.array(np.full(len(s), kind == "hot"))],
@@ -215,6 +206,14 @@ def _digest(depth: int, with_text: bool):
     return run
 
 
+def _later(rows: DataFrame, node: list[str]) -> DataFrame:
+    """The rows that are not the first of their deep node by (id, start); nodes may hold any part of all rows."""
+    nodes = rows.groupBy(*node).agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    nodes = nodes.select(*node, "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.lit(SALTS)))
+    return salted.join(nodes, [*node, "salt"]).filter(F.struct("id", "start") > F.col("first"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, anchor: int = ANCHOR, group: int = GROUP, with_text: bool = False) -> DataFrame:
     """One row per row of `docs`: id, `n_words`, `n_removed`, `kept_sha256`, and `kept_text` on demand.
 
@@ -240,10 +239,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     cold = suffixes.filter("not hot").drop("hot").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_subtrees(depth), "id long, start long, bits long")
 
-    hot = suffixes.filter("hot").select("key", F.col("content").alias("other"), "id", "start", F.pmod(F.xxhash64("id", "start"), F.lit(SALTS)).alias("salt"))
-    nodes = hot.groupBy("key", "other").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    nodes = nodes.select("key", "other", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    later = hot.join(nodes, ["key", "other", "salt"]).filter(F.struct("id", "start") > F.col("first")).select("id", "start", F.lit(1).cast("long").alias("bits"))
+    hot = suffixes.filter("hot").drop("hot").withColumn("node", F.unhex(F.sha2("content", 256)))
+    spans = hot.withColumn("windows", (F.octet_length("content") / 8).cast("int") - (depth - 1))
+    whole = _later(spans, ["key", "lead", "node"]).select("id", "start", F.expr("shiftleft(1L, windows) - 1").alias("bits"))
+    firsts = spans.groupBy("key", "lead", "node").agg(F.min(F.struct("id", "start")).alias("f"), F.first("content").alias("content"), F.first("windows").alias("windows"))
+    each = firsts.select("key", "lead", "f.*", "content", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("j"))
+    each = each.select("key", (F.col("lead") - F.col("j")).alias("lead"), "id", (F.col("start") + F.col("j")).alias("start"), F.unhex(F.sha2(F.substring("content", F.col("j") * 8 + 1, F.lit(8 * depth)), 256)).alias("node"))
+    single_windows = _later(each, ["key", "lead", "node"]).select("id", "start", F.lit(1).cast("long").alias("bits"))
+    later = whole.unionByName(single_windows)
 
     marks = cold.unionByName(later).groupBy("id").agg(F.collect_list(F.struct("start", "bits")).alias("m"))
     marks = marks.select("id", F.col("m.start").alias("starts"), F.col("m.bits").alias("bits"))
