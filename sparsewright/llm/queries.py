@@ -10,7 +10,9 @@ from .common import table
 from .exact_dedup import exact_groups
 from .mixing import BUCKETS, SEED, mix
 from .near_dedup import near_duplicates
+from .segmentation import sample_segmentations
 from .substring_dedup import remove_repeats
+from .token_counts import count_tokens
 from .url_filter import judge_urls
 
 
@@ -24,6 +26,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the number of its tokens."""
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every url of pages judged by the rules."""
     return judge_urls(table(spark, sf_dir, "pages"))
@@ -34,6 +41,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with two distinct sampled segmentations, decoded again."""
+    return sample_segmentations(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of windows that occur earlier."""
     return remove_repeats(table(spark, sf_dir, "documents"))
