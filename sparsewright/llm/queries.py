@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_groups
+from .fingerprints import fingerprint_documents
 from .mixing import BUCKETS, SEED, mix
 from .near_dedup import near_duplicates
 from .segmentation import sample_segmentations
@@ -41,6 +42,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and their likeness."""
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with two distinct sampled segmentations, decoded again."""
     return sample_segmentations(table(spark, sf_dir, "documents"))
