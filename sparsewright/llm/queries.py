@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_groups
 from .fingerprints import fingerprint_documents
+from .html_extract import extract
 from .mixing import BUCKETS, SEED, mix
 from .near_dedup import near_duplicates
+from .quality import quality_scores
 from .segmentation import sample_segmentations
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -42,11 +44,21 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and their likeness."""
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learnt from labels that are not held out."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with two distinct sampled segmentations, decoded again."""
     return sample_segmentations(table(spark, sf_dir, "documents"))
