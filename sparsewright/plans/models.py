@@ -1,0 +1,277 @@
+"""Queries that score and evaluate given factor models, and scalar functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .. import functions as S
+from ..operators import matrix as M
+from ..operators import metrics as E
+from . import fixtures as X
+from .catalogue import query
+
+W = "WITH "
+DOT = X.DOT.format(a="w", b="h")
+_SCORED = X.given() + f", s AS (SELECT r, c, v, {DOT} AS p, {DOT} - v AS e FROM m JOIN w USING (r) JOIN h USING (c))"
+
+
+def r6(c, name):
+    return F.round(c, 6).alias(name)
+
+
+def _model(t):
+    return X.row_factors(t), X.col_factors(t)
+
+
+def _scored(spark, sf):
+    t = X.ratings(spark, sf)
+    return E.scored(t, *_model(t))
+
+
+@query("j1_scoring", W + X.RATINGS + ", " + _SCORED + ' SELECT r AS "row", c AS col, round(p, 6) AS pred FROM s')
+def _(spark, sf):
+    return _scored(spark, sf).select("row", "col", r6("pred", "pred"))
+
+
+@query("a1_sse_by_part", W + X.RATINGS + ", " + _SCORED + " SELECT r // 100 AS part, round(sum(e * e), 2) AS sse, count(*) AS n FROM s GROUP BY 1")
+def _(spark, sf):
+    s = M.row_parts(_scored(spark, sf), 100)
+    return E.sse(s, "part").withColumn("sse", F.round("sse", 2))
+
+
+def _split_scored(spark, sf):
+    raw = X.raw(spark, sf)
+    t = raw.groupBy("test", "row", "col").agg(F.sum("value").alias("value"))
+    return E.scored(t, *_model(t))
+
+
+_SPLIT = X.RAW + ", m AS (SELECT test, r, c, sum(v) AS v FROM raw GROUP BY ALL), " + X.given() + f", s AS (SELECT test, r, {DOT} - v AS e FROM m JOIN w USING (r) JOIN h USING (c))"
+
+
+@query("a2_rmse_by_part", W + _SPLIT + " SELECT test, r // 375 AS part, count(*) AS n, round(sqrt(sum(e * e) / count(*)), 6) AS rmse FROM s GROUP BY 1, 2")
+def _(spark, sf):
+    s = M.row_parts(_split_scored(spark, sf), 375)
+    return E.rmse(s, "test", "part").select("test", "part", "n", r6("rmse", "rmse"))
+
+
+@query("a2_rmse", W + _SPLIT + " SELECT test, count(*) AS n, round(sqrt(sum(e * e) / count(*)), 6) AS rmse FROM s GROUP BY 1")
+def _(spark, sf):
+    return E.rmse(_split_scored(spark, sf), "test").select("test", "n", r6("rmse", "rmse"))
+
+
+@query("a4_loss", W + X.RATINGS + ", " + _SCORED + " SELECT round(sum(e * e), 2) AS loss FROM s")
+def _(spark, sf):
+    return _scored(spark, sf).agg(F.round(F.sum(F.col("e") * F.col("e")), 2).alias("loss"))
+
+
+_REG = """, dr AS (SELECT r, count(*) AS n FROM m GROUP BY r), dc AS (SELECT c, count(*) AS n FROM m GROUP BY c),
+    g AS (SELECT {a} * (SELECT sum(n * list_sum(list_transform(w, lambda x: x * x))) FROM dr JOIN w USING (r)) + {b} * (SELECT sum(n * list_sum(list_transform(h, lambda x: x * x))) FROM dc JOIN h USING (c)) AS reg)"""
+
+
+@query("a5_objective", W + X.RATINGS + ", " + _SCORED + _REG.format(a="0.05::DOUBLE", b="0.05::DOUBLE") + " SELECT round(loss, 2) AS loss, round(reg, 2) AS reg, round(loss + reg, 2) AS obj FROM (SELECT sum(e * e) AS loss FROM s), g")
+def _(spark, sf):
+    t = X.ratings(spark, sf)
+    return E.objective(t, *_model(t), 0.05, 0.05).select(*(F.round(c, 2).alias(c) for c in ("loss", "reg", "obj")))
+
+
+@query("a5_objective_rank_major", W + X.RATINGS + ", " + _SCORED + _REG.format(a="0.05::DOUBLE", b="0.05::DOUBLE") + " SELECT round(reg, 6) AS reg FROM g")
+def _(spark, sf):
+    t = X.ratings(spark, sf)
+    long = lambda f, key: f.select(F.col(key).alias("id"), F.posexplode("vec").alias("t", "x"))
+    side = lambda f, key: long(f, key).join(t.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("n")), "id")
+    rows, cols = _model(t)
+    both = side(rows, "row").unionByName(side(cols, "col"))
+    return both.agg(F.round(0.05 * F.sum(F.col("n") * F.col("x") * F.col("x")), 6).alias("reg"))
+
+
+@query("a6_objective_two_lambdas", W + X.RATINGS + ", " + _SCORED + _REG.format(a="0.02::DOUBLE", b="0.07::DOUBLE") + " SELECT round(loss + reg, 2) AS obj FROM (SELECT sum(e * e) AS loss FROM s), g")
+def _(spark, sf):
+    t = X.ratings(spark, sf)
+    return E.objective(t, *_model(t), 0.02, 0.07).select(F.round("obj", 2).alias("obj"))
+
+
+@query("a7_counters", "SELECT event_type, count(*) AS updates, sum(CASE WHEN value < 10 THEN 1 ELSE 0 END)::BIGINT AS failures, sum(user_id)::BIGINT AS sends FROM events GROUP BY 1")
+def _(spark, sf):
+    e = X.table(spark, sf, "events")
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("updates"), F.sum(F.when(F.col("value") < 10, 1).otherwise(0)).alias("failures"), F.sum("user_id").alias("sends"))
+
+
+@query("a9_times_and_idle", "WITH p AS (SELECT user_id % 8 AS p, sum(value) AS total, sum(CASE WHEN event_id % 3 > 0 THEN value ELSE 0 END) AS busy FROM events GROUP BY 1) SELECT round(avg(total), 6) AS avg_time, round(max(total), 6) AS max_time, round(min(total), 6) AS min_time, round(avg(100 * (total - busy) / total), 6) AS idle FROM p")
+def _(spark, sf):
+    p = X.table(spark, sf, "events").groupBy((F.col("user_id") % 8).alias("p")).agg(F.sum("value").alias("total"), F.sum(F.when(F.col("event_id") % 3 > 0, F.col("value")).otherwise(0)).alias("busy"))
+    return p.agg(r6(F.avg("total"), "avg_time"), r6(F.max("total"), "max_time"), r6(F.min("total"), "min_time"), r6(F.avg(100 * (F.col("total") - F.col("busy")) / F.col("total")), "idle"))
+
+
+@query("a10_checkpoint_totals", W + X.LOG + " SELECT n AS epoch, round(sum(cost), 6) AS total, round(sum(cost) / count(*), 6) AS per_worker, count(*) AS workers FROM cl GROUP BY 1")
+def _(spark, sf):
+    return X.checkpoint_log(spark, sf).groupBy(F.col("n").alias("epoch")).agg(r6(F.sum("cost"), "total"), r6(F.sum("cost") / F.count(F.lit(1)), "per_worker"), F.count(F.lit(1)).alias("workers"))
+
+
+@query("a11_online_error", "SELECT round(sum(v), 6) AS error, count(*) AS columns FROM (SELECT user_id, arg_max(value, event_id) AS v FROM events GROUP BY 1)")
+def _(spark, sf):
+    last = X.table(spark, sf, "events").groupBy("user_id").agg(F.max_by("value", "event_id").alias("v"))
+    return last.agg(r6(F.sum("v"), "error"), F.count(F.lit(1)).alias("columns"))
+
+
+@query("a17_norms", "SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS dot, round(sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def _(spark, sf):
+    e = X.table(spark, sf, "embeddings")
+    pairs = e.select("vec_id", F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    return E.norms(pairs, "a", "b").select("vec_id", r6("dot", "dot"), r6("norm", "norm"))
+
+
+@query("a17_matrix_norm", W + X.RATINGS + " SELECT round(sqrt(sum(v * v)), 6) AS norm FROM m")
+def _(spark, sf):
+    return X.ratings(spark, sf).agg(r6(F.sqrt(F.sum(F.col("value") * F.col("value"))), "norm"))
+
+
+@query("a18_expected_nnz", W + X.RATINGS + ", d AS (SELECT r, count(*) AS degree FROM m GROUP BY r), f AS (SELECT degree, count(*) AS freq FROM d GROUP BY 1) SELECT sum(degree * freq)::BIGINT AS nnz FROM f")
+def _(spark, sf):
+    d = X.ratings(spark, sf).groupBy("row").agg(F.count(F.lit(1)).alias("degree")).groupBy("degree").agg(F.count(F.lit(1)).alias("freq"))
+    return d.agg(F.sum(F.col("degree") * F.col("freq")).alias("nnz"))
+
+
+_BIAS = ", k AS (SELECT avg(v) AS mu FROM m)"
+
+
+@query("f2_predict_with_biases", W + X.RATINGS + ", " + _SCORED + _BIAS + ' SELECT r AS "row", c AS col, round(p + mu + (r % 7) / 10.0::DOUBLE + (c % 5) / 10.0::DOUBLE, 6) AS pred FROM s, k')
+def _(spark, sf):
+    t = X.ratings(spark, sf)
+    rows, cols = _model(t)
+    rows, cols = rows.withColumn("b", F.col("row") % 7 / 10.0), cols.withColumn("b", F.col("col") % 5 / 10.0)
+    mean = t.agg(F.avg("value").alias("mu"))
+    return E.scored(t.join(F.broadcast(mean)), rows, cols, F.col("mu"), True).select("row", "col", r6("pred", "pred"))
+
+
+@query("t17_predict", W + X.RATINGS + ", " + _SCORED + _BIAS + " SELECT round(sqrt(sum(pow(e + mu + (r % 7) / 10.0::DOUBLE + (c % 5) / 10.0::DOUBLE, 2)) / count(*)), 6) AS rmse FROM s, k")
+def _(spark, sf):
+    t = X.ratings(spark, sf)
+    rows, cols = _model(t)
+    rows, cols = rows.withColumn("b", F.col("row") % 7 / 10.0), cols.withColumn("b", F.col("col") % 5 / 10.0)
+    mean = t.agg(F.avg("value").alias("mu"))
+    return E.rmse(E.scored(t.join(F.broadcast(mean)), rows, cols, F.col("mu"), True)).select(r6("rmse", "rmse"))
+
+
+@query("w13_ring_evaluation", W + X.RATINGS + ", " + _SCORED + " SELECT c AS col, count(*) AS n, round(sum(e * e), 8) AS sse FROM s GROUP BY c")
+def _(spark, sf):
+    return E.sse(_scored(spark, sf), "col").withColumn("sse", F.round("sse", 8))
+
+
+@query("f1_dot", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS dot FROM embeddings")
+def _(spark, sf):
+    return X.table(spark, sf, "embeddings").select("vec_id", r6(S.dot(F.col("embedding"), F.col("embedding")), "dot"))
+
+
+@query("f3_step_size", "SELECT i AS epoch, round(1.5::DOUBLE * 0.008 / (1 + 0.01::DOUBLE * pow(i, 1.5)), 10) AS step FROM range(1, 101) t(i)")
+def _(spark, sf):
+    return spark.range(1, 101).select(F.col("id").alias("epoch"), F.round(S.step_size(0.008, 0.01, F.col("id")), 10).alias("step"))
+
+
+_BW = "WITH t AS (SELECT c_custkey AS id, ['10k', 'inf', '2.5m', '7g', '5', '100', 'x9', '3K', 'INF', ' 12m '][CAST(c_custkey % 10 AS INTEGER) + 1] AS s FROM customer), l AS (SELECT id, s, lower(trim(s)) AS x FROM t) "
+
+
+@query("f4_bandwidth", _BW + "SELECT id, CASE WHEN length(x) < 2 THEN NULL WHEN x = 'inf' THEN 1e300 WHEN regexp_full_match(x, '[0-9]+\\.?[0-9]*[kmg]?') THEN CAST(regexp_extract(x, '^([0-9.]+)', 1) AS DOUBLE) * CASE right(x, 1) WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'g' THEN 1e9 ELSE 1 END END AS rate FROM l")
+def _(spark, sf):
+    s = F.element_at(F.array(*map(F.lit, ["10k", "inf", "2.5m", "7g", "5", "100", "x9", "3K", "INF", " 12m "])), (F.col("c_custkey") % 10).cast("int") + 1)
+    return X.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(S.bandwidth(s) > 1e300, F.lit(1e300)).otherwise(S.bandwidth(s)).alias("rate"))
+
+
+@query("f5_size_number", "WITH t AS (SELECT c_custkey AS id, ['12', '5k', '3m', '40K', 'x'][CAST(c_custkey % 5 AS INTEGER) + 1] AS s FROM customer) SELECT id, CASE WHEN regexp_full_match(lower(s), '[0-9]+[km]?') THEN CAST(regexp_extract(s, '^([0-9]+)', 1) AS BIGINT) * CASE lower(right(s, 1)) WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 ELSE 1 END END AS size FROM t")
+def _(spark, sf):
+    s = F.element_at(F.array(*map(F.lit, ["12", "5k", "3m", "40K", "x"])), (F.col("c_custkey") % 5).cast("int") + 1)
+    return X.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), S.size_number(s).alias("size"))
+
+
+_NAMES = ["netflix-4-10-none", "a-b-16-30-sync-rmse.csv", "yahoo-8-x-vs", "w-1-2-vs", "q-3-4-async"]
+
+
+@query("f6_run_name", "WITH t AS (SELECT c_custkey AS id, ['netflix-4-10-none', 'a-b-16-30-sync-rmse.csv', 'yahoo-8-x-vs', 'w-1-2-vs', 'q-3-4-async'][CAST(c_custkey % 5 AS INTEGER) + 1] AS s FROM customer), g AS (SELECT id, s, regexp_matches(s, '^(.+)-(\\d+)-(\\d+)-(none|sync|async|vs)') AS ok FROM t) SELECT id, CASE WHEN ok THEN regexp_extract(s, '^(.+)-(\\d+)-(\\d+)-(none|sync|async|vs)', 1) END AS ds, CASE WHEN ok THEN CAST(regexp_extract(s, '^(.+)-(\\d+)-(\\d+)-(none|sync|async|vs)', 2) AS INTEGER) END AS nw, CASE WHEN ok THEN CAST(regexp_extract(s, '^(.+)-(\\d+)-(\\d+)-(none|sync|async|vs)', 3) AS INTEGER) END AS ci, CASE WHEN ok THEN regexp_extract(s, '^(.+)-(\\d+)-(\\d+)-(none|sync|async|vs)', 4) END AS ctype FROM g")
+def _(spark, sf):
+    s = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("c_custkey") % 5).cast("int") + 1)
+    t = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), s.alias("s"))
+    return t.select("id", *(c.alias(k) for k, c in S.run_name(F.col("s")).items()))
+
+
+@query("f7_enum_check", "SELECT c_custkey AS id, lower(c_mktsegment) IN ('building', 'machinery') AS ok FROM customer")
+def _(spark, sf):
+    return X.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), S.is_one_of(F.col("c_mktsegment"), "building", "machinery").alias("ok"))
+
+
+@query("f8_formats", "SELECT c_custkey AS id, printf('%d %.2f %f %.10f', c_custkey, c_acctbal, c_acctbal, c_acctbal) AS line FROM customer")
+def _(spark, sf):
+    a = F.col("c_acctbal")
+    return X.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.format_string("%d %.2f %f %.10f", "c_custkey", a, a, a).alias("line"))
+
+
+@query("f9_checkpoint_name", "SELECT event_id, printf('cp-t%d-e%d-p%d', event_id % 3, event_id, user_id) AS name FROM events")
+def _(spark, sf):
+    return X.table(spark, sf, "events").select("event_id", S.checkpoint_name(F.col("event_id") % 3, F.col("event_id"), F.col("user_id")).alias("name"))
+
+
+@query("f10_transmission_delay", "SELECT event_id, round(greatest(0.0::DOUBLE, value / 50 - (event_id % 9)), 6) AS delay FROM events")
+def _(spark, sf):
+    return X.table(spark, sf, "events").select("event_id", r6(S.transmission_delay(F.col("value"), F.lit(50.0), (F.col("event_id") % 9).cast("double")), "delay"))
+
+
+@query("f11_batch_size", "SELECT i AS ncols, greatest(1, least(100, i // 4 // 4)) AS batch FROM range(1, 3000, 7) t(i)")
+def _(spark, sf):
+    return spark.range(1, 3000, 7).select(F.col("id").alias("ncols"), S.batch_size(F.lit(100), F.col("id"), F.lit(4)).alias("batch"))
+
+
+@query("f12_min_updated", "SELECT i AS ncols, greatest(1, CAST(floor(i * 0.25::DOUBLE) AS BIGINT)) AS least FROM range(1, 300) t(i)")
+def _(spark, sf):
+    return spark.range(1, 300).select(F.col("id").alias("ncols"), S.min_updated(F.col("id"), 0.25).alias("least"))
+
+
+@query("f13_recovery_time", "WITH p AS (SELECT i / 10.0::DOUBLE AS x FROM range(11) t(i)), q AS (SELECT x, CAST(trunc(100.0::DOUBLE * x / 7) AS INTEGER) AS a, CAST(trunc(100.0::DOUBLE * (1 - x) / 7) AS INTEGER) AS b FROM p) SELECT x, round(10 + 100 * x + a * 0.5::DOUBLE + 110 - a * 7 + b * 0.5::DOUBLE + 5, 6) AS resumed, round(10 + 100 * x + 115, 6) AS restarted FROM q")
+def _(spark, sf):
+    x = F.col("id") / 10.0
+    args = (10.0, 100.0, 5.0, 0.5, 7.0)
+    return spark.range(11).select(x.alias("x"), r6(S.recovery_time(*args, x), "resumed"), r6(S.recovery_time(*args, x, True), "restarted"))
+
+
+@query("f14_log_fit", W + X.RATINGS + ", d AS (SELECT r, count(*) AS n FROM m GROUP BY r), f AS (SELECT n, count(*) AS q FROM d GROUP BY n) SELECT round(regr_slope(ln(q), ln(n)), 6) AS slope, round(regr_intercept(ln(q), ln(n)), 6) AS intercept, round(regr_slope(q, n), 6) AS linear FROM f")
+def _(spark, sf):
+    f = X.ratings(spark, sf).groupBy("row").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("q"))
+    return f.agg(r6(F.regr_slope(F.ln("q"), F.ln("n")), "slope"), r6(F.regr_intercept(F.ln("q"), F.ln("n")), "intercept"), r6(F.regr_slope(F.col("q"), F.col("n")), "linear"))
+
+
+@query("f15_truncation", "SELECT i AS deg, CAST(floor(i * 0.8::DOUBLE) AS BIGINT) AS train, i * 5 // 4 AS total FROM range(500) t(i)")
+def _(spark, sf):
+    return spark.range(500).select(F.col("id").alias("deg"), F.floor(F.col("id") * 0.8).alias("train"), F.floor(F.col("id") * 5 / 4).alias("total"))
+
+
+@query("f16_power_law", "SELECT i AS id, round(2.0::DOUBLE * pow(1 - i / 1000.0::DOUBLE, 1 / (1 - 2.2::DOUBLE)), 6) AS x FROM range(1000) t(i)")
+def _(spark, sf):
+    return spark.range(1000).select("id", r6(S.power_law(F.col("id") / 1000.0, 2.0, 2.2), "x"))
+
+
+@query("t12_given_init", W + X.RATINGS + ", " + X.given() + ' SELECT r AS "row", list_transform(w, lambda x: round(x, 6)) AS vec FROM w')
+def _(spark, sf):
+    return X.row_factors(X.ratings(spark, sf)).select("row", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+@query("t15_shuffle_and_back", W + X.RATINGS + ' SELECT r AS "row", c AS col, v AS value FROM m')
+def _(spark, sf):
+    t = X.ratings(spark, sf)
+    p, q = M.id_map(t.select("row"), shuffled=True), M.id_map(t.select("col"), shuffled=True)
+    back = lambda d: d.select(F.col("idx").alias("id"), F.col("id").alias("idx"))
+    return M.permute(M.permute(t, p, q), back(p), back(q))
+
+
+@query("s22_view", W + X.RATINGS + " SELECT max(r) + 1 AS nrows, max(c) + 1 AS ncols, count(*) AS nnz, round(avg(v), 6) AS mean FROM m")
+def _(spark, sf):
+    return M.dimensions(X.ratings(spark, sf)).withColumn("mean", F.round("mean", 6))
+
+
+@query("extension_top_items", W + X.TRAIN + ", " + X.given() + f', p AS (SELECT r, c, round({DOT}, 6) AS p FROM w, h WHERE r < 20), k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY p DESC, c) AS n FROM p) SELECT r AS "row", c AS col, p AS pred, n AS place FROM k WHERE n <= 5')
+def _(spark, sf):
+    """An extension, not in the original feature set: the best items of the first twenty rows, by blocks of columns."""
+    t = X.ratings(spark, sf, False)
+    rows, cols = _model(t)
+    some = rows.filter("row < 20").agg(F.collect_list(F.struct("row", "vec")).alias("some"))  # twenty rows, broadcast
+    pred = F.round(S.dot(F.col("r.vec"), F.col("vec")), 6)
+    each = cols.join(F.broadcast(some)).select("col", "vec", F.explode("some").alias("r")).select(F.col("r.row").alias("row"), "col", pred.alias("pred"))
+    part = Window.partitionBy("row").orderBy(F.col("pred").desc(), "col")
+    return each.withColumn("place", F.row_number().over(part)).filter("place <= 5")
