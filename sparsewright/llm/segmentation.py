@@ -36,7 +36,7 @@ from .token_counts import MARK, default_model, load
 
 K, SEED, ALPHA, RANK_SHIFT = 2, 17, 1.0, 2.0
 LONGEST = 16
-SLICE = 4 << 20
+SLICE = 3_900_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _FULL = (1 << 64) - 1
@@ -85,27 +85,41 @@ class Vocabulary:
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Ids of pieces, -1 for none."""
-        out = np.full(len(key), -1, np.int64)
+        out, ask = np.full(len(key), -1, np.int64), slice(None)
         for shift, table in self.tables:
             at = table[(key >> _U(shift)) & _U((1 << 22) - 1)]
-            hit = (at >= 0) & (self.key[at] == key)
-            out[hit] = self.id[at[hit]]
+            taken = np.flatnonzero(at >= 0)
+            at, own = at[taken], (taken if isinstance(ask, slice) else ask[taken])
+            hit = self.key[at] == key[taken]
+            out[own[hit]] = self.id[at[hit]]
+            ask, key = own[~hit], key[taken[~hit]]  # only where a slot is taken by another can a key be in the next table
+            if not len(ask):
+                break
         return out
 
 
+@lru_cache(maxsize=1)
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    out = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        table = np.full(n, b, _U)
+        table[0] = 1
+        out.append(np.multiply.accumulate(table))
+    return out
+
+
 class Hashes:
     """Hashes of runs of characters from prefix sums."""
 
     def __init__(self, points: np.ndarray):
         n = len(points)
-        up, down = np.full(n + 1, _BASE, _U), np.full(n + 1, pow(_BASE, -1, 1 << 64), _U)
-        up[0] = down[0] = 1
-        up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        up, self.down = _powers(max(1 << 22, 1 << n.bit_length()))
         self.sums = np.zeros(n + 1, _U)
         np.cumsum(mix(points.astype(_U) + _U(1)) * up[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(_U))
+        return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
 @lru_cache(maxsize=2)
@@ -162,8 +176,10 @@ class Lattice:
         self.edge0 = np.searchsorted(self.node, np.arange(count + 1))
         self.ends = left[self.node] == self.length  # the edge reaches the word's end
         back = np.zeros(count + 1)
-        by_left = np.argsort(left[self.node], kind="stable")
-        cuts = np.searchsorted(left[self.node][by_left], np.arange(1, int(left.max(initial=0)) + 2))
+        far = left[self.node]
+        far = far.astype(np.uint16) if far.max(initial=0) < 1 << 16 else far  # sixteen bits sort by radix
+        by_left = np.argsort(far, kind="stable")
+        cuts = np.searchsorted(far[by_left], np.arange(1, int(left.max(initial=0)) + 2))
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):
             if a == z:
                 continue
