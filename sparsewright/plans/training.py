@@ -1,0 +1,277 @@
+"""Queries of the iterative trainers, their schedules, the generator, snapshots and the monitor."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import ccd as C
+from ..operators import checkpoint as P
+from ..operators import sgd as G
+from ..operators import synth as Y
+from ..streaming import monitor
+from . import fixtures as X
+from .catalogue import query
+
+W = "WITH "
+K = 3
+
+
+def r6(c, name):
+    return F.round(c, 6).alias(name)
+
+
+# --- rank-one coordinate descent ---------------------------------------------------------------------
+
+_U0 = ", u0 AS (SELECT DISTINCT r, ((r * 7) % 10 + 1) / 20.0::DOUBLE AS u FROM m)"
+_V1 = _U0 + ", v1 AS (SELECT c, sum(u * v) / (0.1::DOUBLE * count(*) + sum(u * u)) AS x FROM m JOIN u0 USING (r) GROUP BY c)"
+_U1 = _V1 + ", u1 AS (SELECT r, sum(x * v) / (0.1::DOUBLE * count(*) + sum(x * x)) AS y FROM m JOIN v1 USING (c) GROUP BY r)"
+_R1 = _U1 + ", r1 AS (SELECT m.r, m.c, v - x * y AS e FROM m JOIN v1 USING (c) JOIN u1 USING (r))"
+
+
+def _u0(t):
+    return t.select("row").distinct().withColumn("x", ((F.col("row") * 7) % 10 + 1) / 20.0)
+
+
+def _steps(spark, sf):
+    t = X.ratings(spark, sf).withColumn("r", F.col("value"))
+    v1 = C.half_step(t, _u0(t), "col", "row", 0.1)
+    return t, v1, C.half_step(t, v1, "row", "col", 0.1)
+
+
+@query("t5_half_step", W + X.RATINGS + _V1 + " SELECT c AS col, round(x, 9) AS x FROM v1")
+def _(spark, sf):
+    return _steps(spark, sf)[1].select("col", F.round("x", 9).alias("x"))
+
+
+@query("t5_rank_step", W + X.RATINGS + _U1 + ' SELECT r AS "row", round(y, 6) AS x FROM u1')
+def _(spark, sf):
+    return _steps(spark, sf)[2].select("row", r6("x", "x"))
+
+
+@query("t16_residual", W + X.RATINGS + _R1 + ' SELECT r AS "row", c AS col, round(e, 6) AS residual FROM r1')
+def _(spark, sf):
+    t, v, u = _steps(spark, sf)
+    return C.shift(t, u, v, -1).select("row", "col", r6("r", "residual"))
+
+
+@query("a3_incremental_rmse", W + X.RATINGS + _R1 + " SELECT round(sqrt(sum(e * e) / count(*)), 6) AS rmse FROM r1")
+def _(spark, sf):
+    t, v, u = _steps(spark, sf)
+    return C.shift(t, u, v, -1).agg(r6(F.sqrt(F.sum(F.col("r") * F.col("r")) / F.count(F.lit(1))), "rmse"))
+
+
+@query("a3_add_back_old_rank", W + X.RATINGS + _R1 + " SELECT round(sqrt(sum(pow(e + u * x, 2)) / count(*)), 6) AS rmse FROM r1 JOIN u0 USING (r) JOIN v1 USING (c)")
+def _(spark, sf):
+    t, v, u = _steps(spark, sf)
+    return C.shift(C.shift(t, u, v, -1), _u0(t), v, 1).agg(r6(F.sqrt(F.sum(F.col("r") * F.col("r")) / F.count(F.lit(1))), "rmse"))
+
+
+@query("t7_nonnegative", W + X.RATINGS + ", n AS (SELECT r, c, v - 25 AS v FROM m), u0 AS (SELECT DISTINCT r, ((r * 7) % 10 + 1) / 20.0::DOUBLE AS u FROM m) SELECT c AS col, round(greatest(0, sum(u * v) / (0.1::DOUBLE * count(*) + sum(u * u))), 6) AS x FROM n JOIN u0 USING (r) GROUP BY c")
+def _(spark, sf):
+    t = X.ratings(spark, sf).withColumn("r", F.col("value") - 25)
+    return C.half_step(t, _u0(t), "col", "row", 0.1, nonneg=True).select("col", r6("x", "x"))
+
+
+@query("t8_function_decrease", W + X.RATINGS + ", n AS (SELECT r, c, v - 25 AS v FROM m), u0 AS (SELECT DISTINCT r, ((r * 7) % 10 + 1) / 20.0::DOUBLE AS u FROM m), s AS (SELECT c, sum(u * v) AS g, 0.1::DOUBLE * count(*) + sum(u * u) AS h, (c % 4) / 4.0::DOUBLE AS o FROM n JOIN u0 USING (r) GROUP BY c) SELECT c AS col, round(CASE WHEN g / h < 0 THEN -2 * g * o + h * o * o ELSE h * (o - g / h) * (o - g / h) END, 9) AS fundec FROM s")
+def _(spark, sf):
+    t = X.ratings(spark, sf).withColumn("r", F.col("value") - 25)
+    old = t.select("col").distinct().withColumn("x", F.col("col") % 4 / 4.0)
+    return C.decrease(t, _u0(t), old, "col", "row", 0.1, nonneg=True).select("col", F.round("fundec", 9).alias("fundec"))
+
+
+_TWO = """, u0 AS (SELECT DISTINCT r, ((r * 7) % 10 + 1) / 20.0::DOUBLE AS a, ((r * 7 + 3) % 10 + 1) / 20.0::DOUBLE AS b FROM m),
+ v1 AS (SELECT c, sum(a * v) / (0.1::DOUBLE * count(*) + sum(a * a)) AS x FROM m JOIN u0 USING (r) GROUP BY c),
+ u1 AS (SELECT r, sum(x * v) / (0.1::DOUBLE * count(*) + sum(x * x)) AS y FROM m JOIN v1 USING (c) GROUP BY r),
+ r1 AS (SELECT m.r, m.c, v - x * y AS v FROM m JOIN v1 USING (c) JOIN u1 USING (r)),
+ v2 AS (SELECT c, sum(b * v) / (0.1::DOUBLE * count(*) + sum(b * b)) AS x FROM r1 JOIN u0 USING (r) GROUP BY c),
+ u2 AS (SELECT r, sum(x * v) / (0.1::DOUBLE * count(*) + sum(x * x)) AS y FROM r1 JOIN v2 USING (c) GROUP BY r)"""
+
+
+def _ccd(spark, sf, **options):
+    t = X.event_matrix(spark, sf)
+    init = t.select("row").distinct().select("row", F.explode(F.array(F.lit(0), F.lit(1))).alias("t")).withColumn("x", ((F.col("row") * 7 + F.col("t") * 3) % 10 + 1) / 20.0)
+    return C.train(t, 2, 0.1, 1, 1, init, **options)
+
+
+@query("t5_two_ranks", W + X.EVENTS + _TWO + " SELECT r AS id, 0 AS t, round(y, 6) AS x FROM u1 UNION ALL SELECT r, 1, round(y, 6) FROM u2")
+def _(spark, sf):
+    return _ccd(spark, sf)[0].select("id", "t", r6("x", "x"))
+
+
+@query("t8_early_stop")
+def _(spark, sf):
+    rows, cols, _ = _ccd(spark, sf, eps=0.001, nonneg=True)
+    return rows.withColumn("kind", F.lit("row")).unionByName(cols.withColumn("kind", F.lit("col")))
+
+
+@query("w12_objective_log")
+def _(spark, sf):
+    return spark.createDataFrame(_ccd(spark, sf)[2], "outer int, rank int, loss double")
+
+
+# --- stochastic gradient descent ---------------------------------------------------------------------
+
+
+def _start(t, k=K, biased=False):
+    tail = [F.lit(0.0)] if biased else []
+    r = t.select(F.col("row").alias("id")).distinct().select(F.lit("row").alias("kind"), "id", F.array(*(((F.col("id") * 7 + j * 3) % 10) / 20.0 for j in range(k)), *tail).alias("vec"))
+    c = t.select(F.col("col").alias("id")).distinct().select(F.lit("col").alias("kind"), "id", F.array(*(((F.col("id") * 5 + j * 2) % 10) / 20.0 for j in range(k)), *tail).alias("vec"))
+    return r.unionByName(c)
+
+
+def _sequential(order: str, step: str, lam: str = "0.05::DOUBLE") -> str:
+    """The sequential rule as a recursive query: one rating a step, W and H as nested lists."""
+    w = ", ".join(f"((i * 7 + {j * 3}) % 10) / 20.0::DOUBLE" for j in range(K))
+    h = ", ".join(f"((i * 5 + {j * 2}) % 10) / 20.0::DOUBLE" for j in range(K))
+    return f"""WITH RECURSIVE {X.TINY}, t AS (SELECT row_number() OVER (ORDER BY {order}) AS n, r AS i, c AS j, v FROM m),
+    s AS (SELECT 0::BIGINT AS n, (SELECT list([{w}] ORDER BY i) FROM range(25) g(i)) AS w, (SELECT list([{h}] ORDER BY i) FROM range(5) g(i)) AS h
+      UNION ALL SELECT n, list_transform(w, lambda p, x: CASE WHEN x = i + 1 THEN list_transform(p, lambda a, y: a - {step} * (e * h[j + 1][y] + {lam} * a)) ELSE p END),
+                          list_transform(h, lambda q, x: CASE WHEN x = j + 1 THEN list_transform(q, lambda b, y: b - {step} * (e * w[i + 1][y] + {lam} * b)) ELSE q END)
+      FROM (SELECT t.n, t.i, t.j, s.w, s.h, list_sum(list_transform(list_zip(s.w[t.i + 1], s.h[t.j + 1]), lambda z: z[1] * z[2])) - t.v AS e FROM s JOIN t ON t.n = s.n + 1) q),
+    z AS (SELECT w, h FROM s ORDER BY n DESC LIMIT 1)
+    SELECT 'row' AS kind, i AS id, list_transform(w[i + 1], lambda x: round(x, 6)) AS vec FROM z, range(25) g(i)
+    UNION ALL SELECT 'col', i, list_transform(h[i + 1], lambda x: round(x, 6)) FROM z, range(5) g(i)"""
+
+
+def _rounded(f):
+    return f.select("kind", "id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+@query("t1_column_sweeps", _sequential("c, r", "(1.5::DOUBLE * 0.02 / (1 + 0.1::DOUBLE * 1))"))
+def _(spark, sf):
+    t = X.tiny(spark, sf)
+    return _rounded(G.train(t, _start(t), 1, 1, 0.02, 0.1)[0])
+
+
+@query("t11_reverse_order", _sequential("c DESC, r DESC", "0.02::DOUBLE"))
+def _(spark, sf):
+    t = X.tiny(spark, sf)
+    return _rounded(G.train(t, _start(t), 1, 1, 0.02, reverse=True, bold=(0.5, 1.05))[0])
+
+
+# one stratum after the other, parts of a stratum share neither rows nor columns: the order below is theirs
+@query("t3_stratified", _sequential("((c % 2) - (r % 2) + 2) % 2, r % 2, c, r", "(1.5::DOUBLE * 0.02 / (1 + 0.1::DOUBLE * 1))"))
+def _(spark, sf):
+    t = X.tiny(spark, sf)
+    return _rounded(G.train(t, _start(t), 2, 1, 0.02, 0.1)[0])
+
+
+@query("t4_two_phase_blocks", _sequential("((c % 4) // 2 - (r % 2) + 2) % 2, (c % 4) % 2, r % 2, c, r", "(1.5::DOUBLE * 0.02 / (1 + 0.1::DOUBLE * 1))"))
+def _(spark, sf):
+    t = X.tiny(spark, sf)
+    return _rounded(G.train(t, _start(t), 2, 1, 0.02, 0.1, halves=2)[0])
+
+
+def _scaled(spark, sf):
+    return X.ratings(spark, sf, False).withColumn("value", F.col("value") / 10)
+
+
+@query("t3_rmse_per_epoch")
+def _(spark, sf):
+    t = _scaled(spark, sf)
+    n = t.count()
+    log = G.train(t, _start(t, 8), 4, 2, 0.01, strategy="wor")[1]
+    return spark.createDataFrame([(e, s, (loss / n) ** 0.5) for e, s, loss in log], "epoch int, step double, rmse double")
+
+
+@query("t6_biased")
+def _(spark, sf):
+    t = X.tiny(spark, sf)
+    return G.train(t, _start(t, K, True), 2, 2, 0.01, biased=True, mean=t.agg(F.avg("value")).first()[0], bold=(0.5, 1.0))[0]
+
+
+@query("t13_rounds")
+def _(spark, sf):
+    t = X.tiny(spark, sf)
+    return spark.createDataFrame(G.train(t, _start(t), 2, 3, 0.01, 0.1)[1], "round int, step double, loss double")
+
+
+@query("t2_token_schedule", "SELECT CAST(e AS INTEGER) AS epoch, CAST(s AS INTEGER) AS sub, CAST(p AS INTEGER) AS part, CAST((p + s) % 4 AS INTEGER) AS block FROM range(1, 4) a(e), range(4) b(s), range(4) c(p)")
+@query("t10_cyclic_strata", "SELECT CAST(e AS INTEGER) AS epoch, CAST(s AS INTEGER) AS sub, CAST(p AS INTEGER) AS part, CAST((p + s) % 4 AS INTEGER) AS block FROM range(1, 4) a(e), range(4) b(s), range(4) c(p)")
+def _(spark, sf):
+    return G.schedule(spark, 4, 3)
+
+
+@query("t10_latin_square", "SELECT CAST(e AS INTEGER) AS epoch, CAST(p AS INTEGER) AS part, 6::BIGINT AS blocks FROM range(1, 6) a(e), range(6) b(p)")
+def _(spark, sf):
+    return G.schedule(spark, 6, 5, "wor").groupBy("epoch", "part").agg(F.count_distinct("block").alias("blocks"))
+
+
+@query("o5_free_block_order", "SELECT CAST(s AS INTEGER) AS sub, 4::BIGINT AS blocks FROM range(4) b(s)")
+def _(spark, sf):
+    """The least-visited free block is the next of a round robin: every sub-epoch runs each block once."""
+    return G.schedule(spark, 4, 1).groupBy("sub").agg(F.count_distinct("block").alias("blocks"))
+
+
+@query("t9_bold_driver", "WITH l AS (SELECT user_id AS run, event_id AS time, value AS obj, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS old FROM events WHERE event_id < 2000) SELECT run, time, round(0.01::DOUBLE * exp(sum(ln(CASE WHEN old IS NULL THEN 1.0::DOUBLE WHEN obj > old THEN 0.5::DOUBLE ELSE 1.05::DOUBLE END)) OVER (PARTITION BY run ORDER BY time)), 9) AS rate FROM l")
+def _(spark, sf):
+    log = X.table(spark, sf, "events").filter("event_id < 2000").select(F.col("user_id").alias("run"), F.col("event_id").alias("time"), F.col("value").alias("obj"))
+    return G.bold_rates(log, 0.01).select("run", "time", F.round("rate", 9).alias("rate"))
+
+
+# --- snapshots ---------------------------------------------------------------------------------------
+
+
+def _resumed(spark, sf, protocol):
+    """Loss after three epochs in one run, and after one epoch, a snapshot and two resumed ones."""
+    t = X.tiny(spark, sf)
+    folder = f"{P.shared_folder(spark)}/model-{protocol}-{spark.sparkContext.applicationId}-{id(t)}"
+    straight = G.train(t, _start(t), 2, 3, 0.02, 0.1, strategy="wor")[0]
+    first = G.train(t, _start(t), 2, 1, 0.02, 0.1, strategy="wor")[0].withColumn("grp", F.pmod("id", F.lit(2)).cast("int"))
+    P.save(first, folder, 1, protocol)
+    then = G.train(t, _start(t), 2, 3, 0.02, 0.1, strategy="wor", folder=folder, interval=9, resume=1)[0]
+    same = straight.withColumnRenamed("vec", "a").join(then.withColumnRenamed("vec", "b"), ["kind", "id"])
+    return same.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("a") != F.col("b")).cast("long")).alias("different"))
+
+
+_SAME = "WITH " + X.TINY + " SELECT 'row' AS kind, count(DISTINCT r) AS n, 0::BIGINT AS different FROM m UNION ALL SELECT 'col', count(DISTINCT c), 0 FROM m"
+
+
+@query("c1_sync_snapshot", _SAME)
+@query("c4_periodic_snapshot", _SAME)
+@query("c5_resume", _SAME)
+def _(spark, sf):
+    return _resumed(spark, sf, "sync")
+
+
+@query("c2_async_snapshot", _SAME)
+def _(spark, sf):
+    return _resumed(spark, sf, "async")
+
+
+@query("c3_vs_snapshot", _SAME)
+def _(spark, sf):
+    return _resumed(spark, sf, "vs")
+
+
+# --- generator ---------------------------------------------------------------------------------------
+
+
+@query("g1_degree_frequencies")
+def _(spark, sf):
+    return Y.row_degree_frequencies(spark, 200).withColumn("side", F.lit("row")).unionByName(Y.col_degree_frequencies(spark, 300).withColumn("side", F.lit("col")))
+
+
+@query("g2_sample_degrees")
+def _(spark, sf):
+    return Y.sample_degrees(Y.row_degree_frequencies(spark, 200), 1000, 7)
+
+
+@query("g3_popular_columns")
+def _(spark, sf):
+    rows = spark.range(200).select(F.col("id").alias("row"), (F.col("id") % 9).alias("degree"))
+    return Y.sample_cells(rows, spark.range(100).select(F.col("id").alias("col"), (F.col("id") + 1).alias("weight")), 3)
+
+
+@query("g4_noisy_values")
+@query("g5_generate")
+def _(spark, sf):
+    return Y.generate(spark, 300, 80)
+
+
+# --- monitor -----------------------------------------------------------------------------------------
+
+
+@query("w1_streaming_monitor", "SELECT user_id AS col, arg_max(value, event_id) AS error, count(*) AS reports FROM events GROUP BY 1")
+def _(spark, sf):
+    return monitor.run_to_end(spark, f"{sf}/events.parquet")
