@@ -144,7 +144,7 @@ def _(spark, sf):
 @query("p21_sort_in_blocks", W + X.RATINGS + ' SELECT r // 64 AS block_row, c // 64 AS block_col, r AS "row", c AS col, row_number() OVER (PARTITION BY r // 64, c // 64 ORDER BY r, c) AS place FROM m')
 def _(spark, sf):
     place = F.row_number().over(Window.partitionBy("block_row", "block_col").orderBy("row", "col"))
-    return M.block_ids(X.ratings(spark, sf), 64, 64).select("block_row", "block_col", "row", "col", place.alias("place"))
+    return M.block_ids(X.ratings(spark, sf), 64, 64).select("block_row", "block_col", "row", "col", place.cast("long").alias("place"))
 
 
 @query("p22_redistribute", W + X.RATINGS + ' SELECT r AS "row", c AS col, v AS value FROM m')
@@ -178,7 +178,7 @@ def _(spark, sf):
 
 @query("p26_column_major", W + X.TINY + ' SELECT row_number() OVER (ORDER BY c, r) AS place, r AS "row", c AS col, v AS value FROM m')
 def _(spark, sf):
-    return X.tiny(spark, sf).select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("col", "row")).alias("place"), "row", "col", "value")
+    return X.tiny(spark, sf).select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("col", "row")).cast("long").alias("place"), "row", "col", "value")
 
 
 @query("o1_multi_key_sort", "SELECT row_number() OVER (ORDER BY p_size, p_brand, p_partkey) AS place, p_partkey FROM part")

@@ -274,4 +274,4 @@ def _(spark, sf):
     pred = F.round(S.dot(F.col("r.vec"), F.col("vec")), 6)
     each = cols.join(F.broadcast(some)).select("col", "vec", F.explode("some").alias("r")).select(F.col("r.row").alias("row"), "col", pred.alias("pred"))
     part = Window.partitionBy("row").orderBy(F.col("pred").desc(), "col")
-    return each.withColumn("place", F.row_number().over(part)).filter("place <= 5")
+    return each.withColumn("place", F.row_number().over(part).cast("long")).filter("place <= 5")
