@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text that one call handles at a time; a longer text is handled alone, its bytes in pieces.
 SLICE_BYTES = 1 << 21
+#: Rows that one call handles at a time.
+SLICE_ROWS = 4096
 _PIECE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -62,12 +64,13 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of `batch` whose column `name` holds at most `limit` bytes; longer texts come alone."""
+    """Runs of rows of `batch` whose column `name` holds at most `limit` bytes, at most `SLICE_ROWS` rows; longer texts come alone."""
     _, offs = raw(batch.column(name))
     at, n = 0, batch.num_rows
     while at < n:
         end = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
-        yield batch.slice(at, min(end, n) - at)
+        end = min(end, n, at + SLICE_ROWS)
+        yield batch.slice(at, end - at)
         at = end
 
 

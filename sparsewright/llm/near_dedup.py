@@ -1,8 +1,9 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-Texts are bags of five-word shingles (A-Z lower-cased; a text of fewer words is one shingle).  Their
-likeness is the probability Jaccard index of the shingle counts; it equals the Jaccard index where no
-shingle repeats.
+Texts are weighted sets of five-word shingles (A-Z lower-cased; a text of fewer words is one shingle).
+Their likeness is the probability Jaccard index of the weights.  By default (`weighting` "set") each
+distinct shingle weighs 1, which makes it the Jaccard index: a line that different documents repeat many
+times does not make them alike.  With "counts" a shingle weighs its number of occurrences.
 
 1. Equal texts are collapsed first (`exact_groups`), so copies cost one row each.
 2. ProbMinHash: a shingle of weight w sends points of a Poisson process of rate w to the registers, each
@@ -10,12 +11,21 @@ shingle repeats.
    statistics of exponentials).  A register keeps the shingle whose point came first.  A shingle stops
    as soon as its next point lies behind every register's best: most stop after one or two points.  Two
    texts agree in a register with the probability that is their likeness.
-3. Banding: `BANDS` bands of `ROWS` registers; a pair at 0.8 shares no bucket with probability 5e-5.
-4. Verification without all pairs: each bucket has one leader, and the members are compared with it,
-   exactly.  1 - likeness is a metric.  So once members A within 0.2 of the leader are linked to it, only
-   members B at distance d <= 0.4 can still be linked to such an A, and only to those at d - 0.2 or
-   more.  Buckets keep what can still hold an unseen link, drop what is in one component by then, and
-   take another leader, until none is left.  From round `SINGLE` on, a bucket has 4, 16, 64 ... leaders.
+3. Banding: `BANDS` bands of `ROWS` registers; a pair at 0.8 shares no bucket with probability
+   2e-4, one at 0.85 with 1e-6.
+4. Verification without all pairs: leaders of a bucket are compared, exactly, with its members.  In the
+   first round there is one.  1 - likeness is a metric, so once members A within 0.2 of the leader are
+   linked to it, only members B at distance d <= 0.4 can still be linked to such an A, and only to those
+   at d - 0.2 or more; all else leaves the bucket.  In the rounds after, buckets that lie in one component
+   by then are done, the others get 2, then 4 new leaders, of the largest components first, which are
+   compared with the members of other components and leave.  A pair of a bucket is passed over only
+   where it cannot be a link or is in one component already.
+   What is still open then lies in dense groups, where many texts are close to 0.8; comparing all of them
+   would grow with the square of the group.  With the Jaccard index, two texts that reach `similarity`
+   share a shingle among the first n - ceil(similarity n) + 1 of each, in any order of shingles that all
+   texts use.  With frequent shingles last, a text that differs from its group in more than that has only
+   shingles of its own there and is done without a comparison.  So from round `PREFIX` on the buckets are
+   the shared prefix shingles of the open texts, in place of the bands.
 5. Links become classes by `components`.
 """
 
@@ -34,11 +44,12 @@ from .exact_dedup import exact_groups
 from .kernels import grams, mix, raw, slices, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-REGISTERS, BANDS, ROWS = 128, 25, 5
-#: Rounds with one leader a bucket.
-SINGLE = 2
+REGISTERS, BANDS, ROWS = 256, 36, 7
 #: Members of one leader that one group of rows compares.
 SALT_ROWS = 256
+#: The round from which prefix shingles are the buckets; the texts that tell frequent shingles (any choice
+#: gives the same links), and how many of these are told.
+PREFIX, TELLERS, FREQUENT = 3, 512, 1 << 16
 NO_ID = -(1 << 63)
 _U = np.uint64
 
@@ -99,10 +110,21 @@ def likeness(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> fl
     return float(np.sum(1.0 / (above / x + below / y)))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _weights(counts: np.ndarray, weighting: str) -> np.ndarray:
+    if weighting not in ("set", "counts"):
+        raise ValueError("weighting is 'set' or 'counts'")
+    return counts if weighting == "counts" else np.ones_like(counts)
+
+
+def _signatures(weighting: str):
+    return lambda batches: _sign(batches, weighting)
+
+
+def _sign(batches: Iterator[pa.RecordBatch], weighting: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             first, shingle, weight = weighted_shingles(*raw(part.column("text")))
+            weight = _weights(weight, weighting)
             kept = prob_minhash(first, shingle, weight)
             keys = np.zeros((part.num_rows, BANDS), _U)
             for b in range(BANDS):
@@ -116,12 +138,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), bands], ["id", "bands"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _comparing(weighting: str):
+    return lambda batches: _compare(batches, weighting)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], weighting: str) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (leader, salt, role): a leader's text comes before those of its members."""
     head, mine = None, None
     for batch in batches:
         for part in slices(batch, "text"):
             first, shingle, weight = weighted_shingles(*raw(part.column("text")))
+            weight = _weights(weight, weighting)
             leader, salt, role, ids = (part.column(n).to_pylist() for n in ("leader", "salt", "role", "id"))
             out = []
             for r in range(part.num_rows):
@@ -133,7 +160,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["leader", "id", "likeness"])
 
 
-def compare_with_leaders(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def compare_with_leaders(pairs: DataFrame, texts: DataFrame, weighting: str = "set") -> DataFrame:
     """pairs (leader, id), texts (id, text) -> (leader, id, likeness), exact, over whole texts.
 
     A leader's text is sent once for every `SALT_ROWS` members, not with each pair.
@@ -144,33 +171,81 @@ def compare_with_leaders(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     members = salted.select("leader", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.lit(1).alias("role"), "id").join(texts, "id")
     heads = salts.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("leader").alias("id"))
     rows = heads.join(texts, "id").unionByName(members)
-    return rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role").mapInArrow(_compare, "leader long, id long, likeness double")
+    return rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role").mapInArrow(_comparing(weighting), "leader long, id long, likeness double")
+
+
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            _, shingle, _ = weighted_shingles(*raw(part.column("text")))
+            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64))], ["key"])
 
 
-def links(buckets: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _prefixes(common: np.ndarray, times: np.ndarray, similarity: float):
+    """Each text's prefix shingles; `common`, sorted, come last, by `times`.  (key, id, size, room): the
+    text's number of shingles, and of those from this one on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                first, shingle, _ = weighted_shingles(*raw(part.column("text")))
+                at = np.minimum(np.searchsorted(common, shingle), max(0, len(common) - 1))
+                rank = np.where(common[at] == shingle, times[at], 0) if len(common) else np.zeros(len(shingle), np.int64)
+                n = np.diff(first)
+                row = np.repeat(np.arange(part.num_rows), n)
+                order = np.lexsort((shingle, rank, row))
+                take = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+                place, size = np.arange(len(shingle)) - np.repeat(first[:-1], n), np.repeat(n, n)
+                on = place < np.repeat(take, n)
+                ids = part.column("id").to_numpy(zero_copy_only=False)
+                columns = [shingle[order][on].view(np.int64), ids[row[on]], size[on], (size - place)[on]]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["key", "id", "size", "room"])
+
+    return run
+
+
+def prefix_buckets(texts: DataFrame, similarity: float) -> DataFrame:
+    """(key, id): the shingles by which texts (id, text) of a Jaccard index of `similarity` must meet.
+
+    Texts meet at the first shingle that they share, so all that they share is in the `room` from there on.
+    They need similarity / (1 + similarity) times both sizes; a text with less, even with the smallest one
+    that has the shingle, does not meet any there.
+    """
+    tellers = texts.orderBy(F.xxhash64("id"), "id").limit(TELLERS).select("text")
+    counted = tellers.mapInArrow(_each_shingle, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    told = {r["key"] & (1 << 64) - 1: r["n"] for r in counted.orderBy(F.col("n").desc(), "key").limit(FREQUENT).collect()}
+    common = np.array(sorted(told), _U)
+    times = np.array([told[int(k)] for k in common], np.int64)
+    met = checkpointed(texts.select("id", "text").mapInArrow(_prefixes(common, times, similarity), "key long, id long, size long, room long"))
+    least = checkpointed(met.groupBy("key").agg(F.min("size").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    needed = similarity / (1 + similarity) * (F.col("size") + F.col("least")) - 1e-9
+    return join_counted(met, least, ["key"]).filter(F.col("room") >= needed).select("key", "id")
+
+
+def links(buckets: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
     """buckets (key, id), those with several ids; texts (id, text) of these ids -> links (a, b).
 
     Every pair of a bucket whose likeness is at least `similarity` ends in one component of the links.
     """
-    reach, found, turn = 1.0 - similarity, None, 0
+    reach, found, labels, turn = 1.0 - similarity, None, None, 0
     while True:
-        order = F.struct(F.xxhash64("id", "key", F.lit(turn)), F.col("id"))
-        if turn < SINGLE:
-            led = checkpointed(buckets.groupBy("key").agg(F.min(order)["id"].alias("leader"), F.count(F.lit(1)).alias("n")))
+        order = F.xxhash64("id")  # alike in all buckets, so that they share leaders and with them pairs
+        if turn == 0:
+            led = checkpointed(buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id"))["id"].alias("leader"), F.count(F.lit(1)).alias("n")))
             tried = checkpointed(join_counted(buckets, led, ["key"]).filter("id != leader"))
-            pairs = tried.select("leader", "id").distinct()
         else:
-            some = buckets.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(order))).filter(F.col("rank") <= 4 ** (turn - SINGLE + 1))
+            large_first = F.col("held").desc() if turn < PREFIX else F.col("held")
+            rank = F.row_number().over(Window.partitionBy("key").orderBy(large_first, order, "id"))
+            some = checkpointed(buckets.withColumn("rank", rank).filter(F.col("rank") <= (2**turn if turn < PREFIX else 16 * 4 ** (turn - PREFIX))).select("key", "id", "component"))
             sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-            heads = some.select("key", F.col("id").alias("leader"), F.col("component").alias("led"))
-            heads = checkpointed(heads.groupBy("key").agg(F.collect_list(F.struct("leader", "led")).alias("heads")).join(sizes, "key"))
-            tried = join_counted(buckets, heads, ["key"]).select("key", "id", "component", F.explode("heads").alias("h")).select("key", "id", "component", "h.*")
-            tried = checkpointed(tried.filter("component != led and id != leader"))
-            pairs = tried.select("leader", "id").distinct()
-        judged = checkpointed(compare_with_leaders(pairs, texts))
+            heads = some.groupBy("key").agg(F.collect_list(F.struct(F.col("id").alias("leader"), F.col("component").alias("led"))).alias("heads")).join(sizes, "key")
+            others = join_counted(buckets, checkpointed(heads), ["key"])
+            apart = others.withColumn("heads", F.filter("heads", lambda h: (h["led"] != F.col("component")) & (h["leader"] != F.col("id"))))
+            tried = checkpointed(apart.select("key", "id", F.explode("heads").alias("h")).select("key", "id", "h.leader"))
+        judged = checkpointed(compare_with_leaders(tried.select("leader", "id").distinct(), texts, weighting))
         fresh = judged.filter(F.col("likeness") >= similarity).select(F.col("leader").alias("a"), F.col("id").alias("b"))
         found = checkpointed(fresh if found is None else found.union(fresh))
-        if turn < SINGLE:
+        if turn == 0:
             far = tried.join(judged, ["leader", "id"]).withColumn("d", 1.0 - F.col("likeness"))
             edge = checkpointed(
                 far.groupBy("key").agg(F.min(F.when(F.col("likeness") < similarity, F.col("d"))).alias("edge"), F.count(F.lit(1)).alias("n")).filter("edge is not null")
@@ -179,17 +254,25 @@ def links(buckets: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
             left = left.filter((F.col("likeness") < similarity) | (F.col("d") >= F.col("edge") - reach - 1e-9)).select("key", "id")
         else:
             left = buckets.select("key", "id").join(some.select("key", "id"), ["key", "id"], "left_anti")
-        labels = components(found)
-        left = left.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        left = checkpointed(left)
+        stars = fresh if labels is None else fresh.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        labels = checkpointed(components(stars))
+        held = labels.join(labels.groupBy("component").agg(F.count(F.lit(1)).alias("held")), "component")
+        left = checkpointed(left.join(held, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("held", F.lit(1)).alias("held")))
         open_ = checkpointed(left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", "n"))
         buckets = checkpointed(join_counted(left, open_, ["key"]))
+        turn += 1
+        if turn == PREFIX and weighting == "set" and not buckets.isEmpty():
+            known = checkpointed(buckets.select("id", "component", "held").distinct())
+            met = checkpointed(prefix_buckets(texts.join(known.select("id"), "id"), similarity))
+            several = checkpointed(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+            met = checkpointed(join_counted(met, several, ["key"]).join(known, "id"))
+            apart = checkpointed(met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", "n"))
+            buckets = checkpointed(join_counted(met, apart, ["key"]).select("key", "id", "component", "held"))
         if buckets.isEmpty():
             return found
-        turn += 1
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
     """One row per row of `docs`: its id, `class_id` and `kept`; a class keeps the document that names it.
 
     Equal texts (A-Z lower-cased) share a class, and so do texts of a likeness of at least `similarity`,
@@ -200,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     copies = checkpointed(exact_groups(named, "id", "text").select("id", "keep_id", "group_size"))
     leads = copies.filter("id = keep_id").select("id").distinct()
-    marks = named.mapInArrow(_signatures, "id long, bands array<long>").join(leads, "id", "left_semi").dropDuplicates(["id"])
+    marks = named.mapInArrow(_signatures(weighting), "id long, bands array<long>").join(leads, "id", "left_semi").dropDuplicates(["id"])
     banded = checkpointed(marks.select("id", F.explode("bands").alias("key")))
     shared = checkpointed(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     buckets = checkpointed(join_counted(banded, shared, ["key"]))
@@ -208,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = copies.select("id", F.col("keep_id").alias("class_id"))
     else:
         texts = checkpointed(named.join(buckets.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
-        labels = components(links(buckets, texts, similarity))
+        labels = components(links(buckets, texts, similarity, weighting))
         sizes = copies.filter("id = keep_id").groupBy("keep_id").agg(F.max("group_size").alias("n"))
         labels = checkpointed(labels.select(F.col("id").alias("keep_id"), "component").join(sizes, "keep_id"))
         out = join_counted(copies.select("id", "keep_id"), labels, ["keep_id"], "left").select("id", F.coalesce("component", "keep_id").alias("class_id"))

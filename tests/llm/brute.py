@@ -42,7 +42,11 @@ def probability_jaccard(a, b):
     return total
 
 
-def near_classes(rows, similarity=0.8):
+def jaccard(a, b):
+    return len(a.keys() & b.keys()) / max(1, len(a.keys() | b.keys()))
+
+
+def near_classes(rows, similarity=0.8, like=jaccard):
     """{doc_id: smallest doc_id of its class}, all pairs compared."""
     rows = sorted((i, t or "") for i, t in rows)
     parent = {i: i for i, _ in rows}
@@ -65,9 +69,7 @@ def near_classes(rows, similarity=0.8):
     pairs = {(x, y) for h in holders.values() for x in h for y in h if x < y}
     for x, y in pairs:
         a, b = bags[x], bags[y]
-        if len(a & b) * 1.0 / max(len(a), len(b), 1) < 0.3 and max([*a.values(), *b.values()]) == 1:
-            continue
-        if find(x) != find(y) and probability_jaccard(a, b) >= similarity:
+        if find(x) != find(y) and like(a, b) >= similarity:
             lo, hi = sorted((find(x), find(y)))
             parent[hi] = lo
     return {i: find(i) for i, _ in rows}

@@ -76,6 +76,8 @@ def test_chains_hot_groups_and_edge_cases(spark):
     out = near_duplicates(docs).collect()
     _same_classes({x["doc_id"]: x["class_id"] for x in out}, near_classes([x[:2] for x in rows]))
     assert all(x["kept"] == (x["doc_id"] == x["class_id"]) for x in out)
+    counted = near_duplicates(docs.filter("doc_id >= 80"), weighting="counts").collect()
+    _same_classes({x["doc_id"]: x["class_id"] for x in counted}, near_classes([x[:2] for x in rows if x[0] >= 80], like=probability_jaccard))
     assert near_duplicates(docs.filter(F.lit(False))).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     assert sorted(map(tuple, near_duplicates(odd).collect()), key=str) == [(1, 1, True), (1, 1, True), (None, 1, False)]
