@@ -104,7 +104,7 @@ def _(spark, sf):
     return rows.withColumn("kind", F.lit("row")).unionByName(cols.withColumn("kind", F.lit("col")))
 
 
-@query("w12_objective_log")
+@query("t5_objective_log")
 def _(spark, sf):
     return spark.createDataFrame(_ccd(spark, sf)[2], "outer int, rank int, loss double")
 
