@@ -36,10 +36,11 @@ from .token_counts import MARK, default_model, load
 
 K, SEED, ALPHA, RANK_SHIFT = 2, 17, 1.0, 2.0
 LONGEST = 16
-SLICE = 3_900_000
+SLICE = 3_000_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _FULL = (1 << 64) - 1
+_CHUNK = 1 << 19
 
 
 class Vocabulary:
@@ -74,9 +75,9 @@ class Vocabulary:
         self.id = np.array(normal)
         self.tables = []  # open tables: what collides in one goes into the next
         left = np.arange(len(normal))
-        for shift in (42, 20, 0):
-            table = np.full(1 << 22, -1, np.int32)
-            slot = (self.key[left] >> _U(shift)) & _U((1 << 22) - 1)
+        for shift, bits in ((42, 22), (20, 16), (0, 16)):
+            table = np.full(1 << bits, -1, np.int32)
+            slot = (self.key[left] >> _U(shift)) & _U((1 << bits) - 1)
             table[slot] = left
             left = left[table[slot] != left]
             self.tables.append((shift, table))
@@ -87,7 +88,7 @@ class Vocabulary:
         """Ids of pieces, -1 for none."""
         out, ask = np.full(len(key), -1, np.int64), slice(None)
         for shift, table in self.tables:
-            at = table[(key >> _U(shift)) & _U((1 << 22) - 1)]
+            at = table[(key >> _U(shift)) & _U(len(table) - 1)]
             taken = np.flatnonzero(at >= 0)
             at, own = at[taken], (taken if isinstance(ask, slice) else ask[taken])
             hit = self.key[at] == key[taken]
@@ -116,7 +117,10 @@ class Hashes:
         n = len(points)
         up, self.down = _powers(max(1 << 22, 1 << n.bit_length()))
         self.sums = np.zeros(n + 1, _U)
-        np.cumsum(mix(points.astype(_U) + _U(1)) * up[:n], out=self.sums[1:])
+        for a in range(0, n, _CHUNK):  # in pieces, for the sake of the temporary arrays
+            z = min(a + _CHUNK, n)
+            np.cumsum(mix(points[a:z].astype(_U) + _U(1)) * up[a:z], out=self.sums[a + 1 : z + 1])
+            self.sums[a + 1 : z + 1] += self.sums[a]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.down[start]
@@ -161,18 +165,20 @@ class Lattice:
             if k == 1:
                 alone = here[found < 0]
             here, found = here[found >= 0], found[found >= 0]
-            node.append(here)
-            length.append(np.full(len(here), k))
-            ids.append(found)
+            node.append(here.astype(np.int32))
+            length.append(np.full(len(here), k, np.int8))
+            ids.append(found.astype(np.int32))
         code = points[at[alone]]
         n_bytes = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
-        node.append(alone)
-        length.append(np.ones(len(alone), np.int64))
-        ids.append(-1 - code.astype(np.int64))  # the bytes of a character
+        del hashes, at
+        node.append(alone.astype(np.int32))
+        length.append(np.ones(len(alone), np.int8))
+        ids.append(-1 - code.astype(np.int32))  # the bytes of a character
         weights = [v.weight[np.concatenate(ids[:-1])] if len(ids) > 1 else np.zeros(0), n_bytes * v.byte_weight]
         node, length, ids, weight = np.concatenate(node), np.concatenate(length), np.concatenate(ids), np.concatenate(weights)
         order = np.argsort(node, kind="stable")
         self.node, self.length, self.ids, weight = node[order], length[order], ids[order], weight[order]
+        del node, length, ids, weights, order
         self.edge0 = np.searchsorted(self.node, np.arange(count + 1))
         self.ends = left[self.node] == self.length  # the edge reaches the word's end
         back = np.zeros(count + 1)
@@ -189,9 +195,11 @@ class Lattice:
             head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
             top = np.maximum.reduceat(total, head)
             back[own[head]] = top + np.log(np.add.reduceat(np.exp(total - np.repeat(top, np.diff(np.append(head, len(e))))), head))
-        self.log_p = weight + np.where(self.ends, 0.0, back[np.minimum(self.node + self.length, count)]) - back[self.node]
-        p = np.exp(self.log_p)
-        sums = np.cumsum(p)
+        del by_left, far
+        self.log_p = weight
+        self.log_p += np.where(self.ends, 0.0, back[np.minimum(self.node + self.length, count)])
+        self.log_p -= back[self.node]
+        sums = np.cumsum(np.exp(self.log_p))
         before = np.append(0.0, sums)[self.edge0[:-1]]
         self.cdf = self.node + np.minimum(sums - before[self.node], 1.0)
 
