@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, join_counted
 from .components import components
 from .exact_dedup import exact_groups
-from .kernels import grams, mix, raw, slices, words
+from .kernels import grams, mix, raw, release, slices, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, BANDS, ROWS = 256, 36, 7
@@ -136,6 +136,7 @@ def _sign(batches: Iterator[pa.RecordBatch], weighting: str) -> Iterator[pa.Reco
             offs = np.append(0, np.cumsum(has * BANDS)).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offs), pa.array(keys[has].reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("id"), bands], ["id", "bands"])
+    release()
 
 
 def _comparing(weighting: str):
@@ -158,6 +159,7 @@ def _compare(batches: Iterator[pa.RecordBatch], weighting: str) -> Iterator[pa.R
                 elif head == (leader[r], salt[r]):
                     out.append((leader[r], ids[r], likeness(*mine, *own)))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["leader", "id", "likeness"])
+    release()
 
 
 def compare_with_leaders(pairs: DataFrame, texts: DataFrame, weighting: str = "set") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import grams, mix, raw, slices, words
+from .kernels import grams, mix, raw, release, slices, words
 
 SAMPLE, TREES, DEPTH, BINS, RATE = 6000, 60, 3, 32, 0.2
 PENALTY, STEPS = 0.002, 400
@@ -101,6 +101,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for part in slices(batch, text_col):
                 x = statistics(*raw(part.column(where)))
                 yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, x.T)], names=[*columns, *(f"__{k}" for k in STATISTICS)])
+        release()
 
     return docs.mapInArrow(run, schema)
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import mix, pieces, slices
+from .kernels import mix, pieces, release, slices
 from .token_counts import MARK, default_model, load
 
 K, SEED, ALPHA, RANK_SHIFT = 2, 17, 1.0, 2.0
@@ -99,7 +99,6 @@ class Vocabulary:
         return out
 
 
-@lru_cache(maxsize=1)
 def _powers(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     out = []
@@ -115,7 +114,7 @@ class Hashes:
 
     def __init__(self, points: np.ndarray):
         n = len(points)
-        up, self.down = _powers(max(1 << 22, 1 << n.bit_length()))
+        up, self.down = _powers(n + 1)
         self.sums = np.zeros(n + 1, _U)
         for a in range(0, n, _CHUNK):  # in pieces, for the sake of the temporary arrays
             z = min(a + _CHUNK, n)
@@ -387,6 +386,7 @@ def _sample(path: str, alpha: float, k: int, seed: int, with_ids: bool):
                 index = pa.array([x[0] for x in rows], pa.int64())
                 columns = [pa.array([x[c + 1] for x in rows], t) for c, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column("id").take(index), *columns], ["id", *names])
+        release()
 
     return run
 
