@@ -44,6 +44,8 @@ from .exact_dedup import exact_groups
 from .kernels import grams, mix, raw, release, slices, words
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Rounding that a test of likeness allows for.
+SLACK = 1e-9
 REGISTERS, BANDS, ROWS = 256, 36, 7
 #: Members of one leader that one group of rows compares.
 SALT_ROWS = 256
@@ -98,10 +100,12 @@ def prob_minhash(first: np.ndarray, shingle: np.ndarray, weight: np.ndarray, m:
 
 
 def likeness(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """Probability Jaccard index of two weighted sets, by sorting the weight ratios."""
+    """Probability Jaccard index of two weighted sets, by sorting the weight ratios; of sets, the ratio of two counts."""
     _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     if not len(ia):
         return 0.0
+    if (wa == 1).all() and (wb == 1).all():
+        return len(ia) / (len(a) + len(b) - len(ia))
     x, y = wa[ia].astype(np.float64), wb[ib].astype(np.float64)
     order = np.argsort(x / y, kind="stable")
     x, y = x[order], y[order]
@@ -196,7 +200,7 @@ def _prefixes(common: np.ndarray, times: np.ndarray, similarity: float):
                 n = np.diff(first)
                 row = np.repeat(np.arange(part.num_rows), n)
                 order = np.lexsort((shingle, rank, row))
-                take = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+                take = n - np.ceil(similarity * n - SLACK).astype(np.int64) + 1
                 place, size = np.arange(len(shingle)) - np.repeat(first[:-1], n), np.repeat(n, n)
                 on = place < np.repeat(take, n)
                 ids = part.column("id").to_numpy(zero_copy_only=False)
@@ -220,7 +224,7 @@ def prefix_buckets(texts: DataFrame, similarity: float) -> DataFrame:
     times = np.array([told[int(k)] for k in common], np.int64)
     met = checkpointed(texts.select("id", "text").mapInArrow(_prefixes(common, times, similarity), "key long, id long, size long, room long"))
     least = checkpointed(met.groupBy("key").agg(F.min("size").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    needed = similarity / (1 + similarity) * (F.col("size") + F.col("least")) - 1e-9
+    needed = similarity / (1 + similarity) * (F.col("size") + F.col("least")) - SLACK
     return join_counted(met, least, ["key"]).filter(F.col("room") >= needed).select("key", "id")
 
 
@@ -245,15 +249,16 @@ def links(buckets: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
             apart = others.withColumn("heads", F.filter("heads", lambda h: (h["led"] != F.col("component")) & (h["leader"] != F.col("id"))))
             tried = checkpointed(apart.select("key", "id", F.explode("heads").alias("h")).select("key", "id", "h.leader"))
         judged = checkpointed(compare_with_leaders(tried.select("leader", "id").distinct(), texts, weighting))
-        fresh = judged.filter(F.col("likeness") >= similarity).select(F.col("leader").alias("a"), F.col("id").alias("b"))
+        alike = F.col("likeness") >= similarity - SLACK
+        fresh = judged.filter(alike).select(F.col("leader").alias("a"), F.col("id").alias("b"))
         found = checkpointed(fresh if found is None else found.union(fresh))
         if turn == 0:
             far = tried.join(judged, ["leader", "id"]).withColumn("d", 1.0 - F.col("likeness"))
             edge = checkpointed(
-                far.groupBy("key").agg(F.min(F.when(F.col("likeness") < similarity, F.col("d"))).alias("edge"), F.count(F.lit(1)).alias("n")).filter("edge is not null")
+                far.groupBy("key").agg(F.min(F.when(~alike, F.col("d"))).alias("edge"), F.count(F.lit(1)).alias("n")).filter("edge is not null")
             )
             left = join_counted(far.select("key", "id", "likeness", "d"), edge, ["key"])
-            left = left.filter((F.col("likeness") < similarity) | (F.col("d") >= F.col("edge") - reach - 1e-9)).select("key", "id")
+            left = left.filter(~alike | (F.col("d") >= F.col("edge") - reach - SLACK)).select("key", "id")
         else:
             left = buckets.select("key", "id").join(some.select("key", "id"), ["key", "id"], "left_anti")
         stars = fresh if labels is None else fresh.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))

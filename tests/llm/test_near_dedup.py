@@ -81,3 +81,19 @@ def test_chains_hot_groups_and_edge_cases(spark):
     assert near_duplicates(docs.filter(F.lit(False))).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     assert sorted(map(tuple, near_duplicates(odd).collect()), key=str) == [(1, 1, True), (1, 1, True), (None, 1, False)]
+
+
+@pytest.mark.parametrize("weighting", ["set", "counts"])
+def test_pairs_at_exactly_the_threshold_are_linked(spark, weighting):
+    """12 of 15, 48 of 60 and 80 of 100 shingles shared; 79 of 101 are too few."""
+    pairs = [([f"a{k}" for k in range(16)], [f"a{k}" for k in range(16)] + ["x", "y", "z"])]
+    pairs.append(([f"b{k}" for k in range(52)], [f"b{k}" for k in range(52)] + [f"x{k}" for k in range(12)]))
+    whole = [f"c{k}" for k in range(94)]
+    for name, places in (("d", (20, 60)), ("e", (20, 60, 93))):
+        base = [f"{name}{w}" for w in whole]
+        pairs.append((base, [f"n{k}" if k in places else w for k, w in enumerate(base)]))
+    rows = [(2 * i + j, " ".join(words)) for i, pair in enumerate(pairs) for j, words in enumerate(pair)]
+    sizes = [(len(a & b), len(a | b)) for a, b in ((shingle_bag(x).keys(), shingle_bag(y).keys()) for (_, x), (_, y) in zip(rows[::2], rows[1::2], strict=True))]
+    assert sizes == [(12, 15), (48, 60), (80, 100), (79, 101)]
+    found = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weighting=weighting).collect()}
+    assert [found[2 * i] == found[2 * i + 1] for i in range(4)] == [True, True, True, False]
