@@ -374,27 +374,34 @@ def _sample(path: str, alpha: float, k: int, seed: int, with_ids: bool):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 texts, keys = part.column("text").to_pylist(), part.column("key").to_numpy()
-                rows = []
+                rows, every, decoded = [], [np.zeros(0, np.int32)], []
                 for r, found in enumerate(sample_texts(texts, keys, v, k, seed)):
                     want = texts[r].replace(MARK, " ")
                     for rank, (ids, log_p, value, inclusion) in enumerate(found):
-                        small = ids.astype(np.int32)
-                        row = (r, rank, len(ids), log_p, value, inclusion, hashlib.sha256(small.tobytes()).hexdigest(), decode(ids, v) == want)
-                        rows.append((*row, small.tolist()) if with_ids else row)
-                names = ["rank", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_sha256", "round_trip", *["ids"] * with_ids]
-                kinds = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_(), *[pa.list_(pa.int32())] * with_ids]
+                        small, back = ids.astype(np.int32), decode(ids, v)
+                        rows.append((r, rank, len(ids), log_p, value, inclusion, hashlib.sha256(small.tobytes()).hexdigest(), back == want))
+                        if with_ids:
+                            every.append(small)
+                            decoded.append(back)
+                names = ["rank", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_sha256", "round_trip"]
+                kinds = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
                 index = pa.array([x[0] for x in rows], pa.int64())
                 columns = [pa.array([x[c + 1] for x in rows], t) for c, t in enumerate(kinds)]
+                if with_ids:
+                    ends = np.cumsum([len(x) for x in every]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(every)))
+                    names, columns = [names[0], "ids", "decoded", *names[1:]], [columns[0], lists, pa.array(decoded, pa.string()), *columns[1:]]
                 yield pa.RecordBatch.from_arrays([part.column("id").take(index), *columns], ["id", *names])
         release()
 
     return run
 
 
-def sample_segmentations(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, alpha: float = ALPHA, seed: int = SEED, with_ids: bool = False) -> DataFrame:
+def sample_segmentations(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, alpha: float = ALPHA, seed: int = SEED, with_ids: bool = True) -> DataFrame:
     """Up to `k` rows per row of `docs`, fewer where a text has fewer segmentations: its id, `rank`,
-    `n_pieces`, `log_prob`, `perturbed`, `inclusion`, `ids_sha256` (of the ids as little-endian int32),
-    `round_trip` (decoding gives the text back), and `ids` on demand.
+    `ids`, `decoded` (the text of the ids), `n_pieces`, `log_prob`, `perturbed`, `inclusion`, `ids_sha256`
+    (of the ids as little-endian int32) and `round_trip` (`decoded` is the text).  `with_ids` = False leaves
+    out `ids` and `decoded`.
 
     Null counts as the empty text, whose one segmentation has no piece and probability 1.  The mark that
     stands for a space decodes to a space.  Rows that repeat an id and its text get the same samples;
@@ -402,5 +409,6 @@ def sample_segmentations(docs: DataFrame, k: int = K, id_col: str = "doc_id", te
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.xxhash64(F.col(id_col)), F.lit(0)).alias("key"))
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, rank int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
+    whole = "ids array<int>, decoded string, " * with_ids
+    schema = f"id {kind}, rank int, {whole}n_pieces long, log_prob double, perturbed double, inclusion double, ids_sha256 string, round_trip boolean"
     return rows.mapInArrow(_sample(model_path or default_model(), alpha, k, seed, with_ids), schema).withColumnRenamed("id", id_col)

@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import Counter
 
@@ -90,3 +91,22 @@ def test_edge_cases(spark):
     out = sample_segmentations(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, rank int"), with_ids=True).collect()
     assert all(r["round_trip"] and len(r["ids"]) == r["n_pieces"] and 0 < r["inclusion"] <= 1 for r in out)
     assert Counter(r["doc_id"] for r in out)[None] == 1
+
+
+def test_query_and_last_stage_return_ids_and_decoded_texts(spark):
+    import corpus_pipeline
+
+    from sparsewright.llm.queries import op9_sentencepiece
+
+    sf = "/root/testdata/sf0.001"
+    docs, v = spark.read.parquet(f"{sf}/documents.parquet"), vocabulary(PATH, 1.0)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for out in (op9_sentencepiece(spark, sf), corpus_pipeline.pieces(spark, docs, sf)):
+        rows = out.collect()
+        assert {r["doc_id"] for r in rows} == text.keys()
+        for r in rows:
+            ids = np.array(r["ids"], np.int32)
+            assert len(ids) == r["n_pieces"] and hashlib.sha256(ids.tobytes()).hexdigest() == r["ids_sha256"]
+            assert r["decoded"] == decode(ids, v) == text[r["doc_id"]].replace(MARK, " ")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "doc_id long, text string")
+    assert {(r["doc_id"], len(r["ids"]), r["decoded"]) for r in sample_segmentations(odd, k=1).collect() if r["doc_id"] < 3} == {(1, 0, ""), (2, 0, "")}
