@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dot, power_law
+from .checkpoint import cut
 from .matrix import offsets
 
 
@@ -48,24 +49,48 @@ def sample_degrees(freq: DataFrame, n: int, seed: int, width: int = 1024) -> Dat
 def sample_cells(rows: DataFrame, popularity: DataFrame, seed: int) -> DataFrame:
     """rows (row, degree), popularity (col, weight): each row's `degree` columns drawn without replacement.
 
-    Exponential keys: draws by weight proportional choice of distinct cells need -ln(u) / weight for the
-    candidates.  Candidates are `oversample` draws with replacement per wanted cell, by a bucketed lookup,
-    not every (row, column) pair; repeats go, and the first `degree` distinct ones in draw order stay,
-    which is successive sampling without replacement.
+    Successive sampling: draws with replacement by weight, by a bucketed lookup, of which repeats go and the
+    first `degree` distinct ones stay.  Rows that fall short draw on, twice as often each round, until their
+    draws outnumber the columns.  What a row then lacks comes from its columns not drawn yet, those with the
+    smallest -ln(u) / weight, which continues the same sampling.  A row has min(degree, columns of positive
+    weight) cells.
     """
     weights = popularity.select(F.col("col").alias("degree"), F.col("weight").cast("long").alias("freq"))
-    many = rows.select("row", "degree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("degree") * 4 + 8)).alias("turn")).filter("degree > 0")
     cum = offsets(weights.filter("freq > 0"), "degree", "freq")
-    total = cum.agg(F.max(F.col("offset") + F.col("freq"))).first()[0] or 0
+    total, columns = cum.agg(F.max(F.col("offset") + F.col("freq")), F.count(F.lit(1))).first()
     if not total:
         return rows.select("row", F.lit(0).cast("long").alias("col")).limit(0)
     width = max(1, total // 4096)
     spans = cum.select(F.col("degree").alias("col"), "freq", "offset", F.explode(F.sequence(F.floor(F.col("offset") / width), F.floor((F.col("offset") + F.col("freq") - 1) / width))).alias("b"))
-    draws = many.withColumn("x", F.floor(unit(seed, F.col("row"), F.col("turn")) * total)).withColumn("b", F.floor(F.col("x") / width))
     hit = (F.col("x") >= F.col("offset")) & (F.col("x") < F.col("offset") + F.col("freq"))
-    distinct = draws.join(spans, "b").filter(hit).groupBy("row", "col", "degree").agg(F.min("turn").alias("turn"))
-    picked = distinct.groupBy("row", "degree").agg(F.sort_array(F.collect_list(F.struct("turn", "col"))).alias("c"))
-    return picked.select("row", F.explode(F.slice("c", 1, F.col("degree").cast("int"))).alias("c")).select("row", F.col("c.col").alias("col"))
+    wanted = rows.select("row", F.least(F.col("degree").cast("long"), F.lit(columns)).alias("degree")).filter("degree > 0")
+    open_, found, done, start, end = wanted, None, [], F.lit(0).cast("long"), F.col("degree") * 4 + 8
+    while True:
+        many = open_.select("row", "degree", F.explode(F.sequence(start, end)).alias("turn"))
+        draws = many.withColumn("x", F.floor(unit(seed, F.col("row"), F.col("turn")) * total)).withColumn("b", F.floor(F.col("x") / width))
+        drawn = draws.join(spans, "b").filter(hit).select("row", "col", "degree", "turn")
+        every = drawn if found is None else found.unionByName(drawn)
+        distinct = every.groupBy("row", "col", "degree").agg(F.min("turn").alias("turn"))
+        sets = cut(distinct.groupBy("row", "degree").agg(F.sort_array(F.collect_list(F.struct("turn", "col"))).alias("c")))
+        done.append(sets.filter(F.size("c") >= F.col("degree")).select("row", F.explode(F.slice("c", 1, F.col("degree").cast("int"))).alias("c")).select("row", F.col("c.col").alias("col")))
+        short = sets.filter(F.size("c") < F.col("degree"))
+        found = short.select("row", "degree", F.explode("c").alias("c")).select("row", F.col("c.col").alias("col"), "degree", F.col("c.turn").alias("turn"))
+        turns = short.agg(F.max("degree")).first()[0]
+        if turns is None:
+            break
+        start, end = end + 1, end * 2
+        if (turns * 4 + 8) * 2 ** len(done) > columns:
+            lacking = short.select("row", (F.col("degree") - F.size("c")).alias("lacks"), F.transform("c", lambda x: x["col"]).alias("has"))
+            key = -F.ln(unit(seed, F.lit(-1), F.col("row"), F.col("col"))) / F.col("freq")
+            rest = lacking.crossJoin(weights.filter("freq > 0").select(F.col("degree").alias("col"), "freq")).filter(~F.array_contains("has", F.col("col")))
+            place = F.row_number().over(Window.partitionBy("row").orderBy(key, "col"))
+            done += [found.select("row", "col"), rest.withColumn("place", place).filter("place <= lacks").select("row", "col")]
+            break
+        open_ = short.select("row", "degree")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def generate(spark: SparkSession, nrows: int, ncols: int, dim: int = 20, seed: int = 12345, noise: float = 0.1) -> DataFrame:

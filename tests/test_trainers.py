@@ -121,3 +121,23 @@ def test_generator(spark):
     again = {(r["row"], r["col"], r["test"]): r["value"] for r in synth.generate(spark, 400, 100, 5).repartition(3).collect()}
     assert {(r["row"], r["col"], r["test"]): r["value"] for r in rows} == again and len(again) == len(rows)
     assert 0.1 < np.mean([r["test"] for r in rows]) < 0.3 and all(0 <= r["col"] < 100 for r in rows)
+
+
+@pytest.mark.parametrize(("columns", "degree"), [(60, 50), (60, 90), (4000, 60)])
+def test_every_row_has_its_degree_under_skewed_weights(spark, columns, degree):
+    rows = spark.range(30).select(F.col("id").alias("row"), F.lit(degree).cast("long").alias("degree"))
+    weights = spark.range(columns).select(F.col("id").alias("col"), F.when(F.col("id") == 7, 0).otherwise(F.ceil(1e7 / F.pow(F.col("id") + 1.0, 2.5))).alias("weight"))
+    cells = [tuple(r) for r in synth.sample_cells(rows, weights, 5).collect()]
+    assert len(set(cells)) == len(cells) and all(c != 7 for _, c in cells)
+    assert {r: sum(x == r for x, _ in cells) for r in range(30)} == dict.fromkeys(range(30), min(degree, columns - 1))
+    assert sorted(cells) == sorted(tuple(r) for r in synth.sample_cells(rows.repartition(5), weights, 5).collect())
+    few = spark.createDataFrame([(0, 0), (1, 1), (2, 5)], "row long, degree long")
+    assert sorted(r["row"] for r in synth.sample_cells(few, weights.filter("col = 1"), 5).collect()) == [1, 2]
+
+
+def test_short_rows_go_on_with_the_same_sampling(spark):
+    """Weights 98, 1, 1, two of three cells: (0, 1), (0, 2) about equally often, (1, 2) with 2 * 0.01 / 99 only."""
+    rows = spark.range(4000).select(F.col("id").alias("row"), F.lit(2).cast("long").alias("degree"))
+    cells = synth.sample_cells(rows, spark.createDataFrame([(0, 98), (1, 1), (2, 1)], "col long, weight long"), 3).collect()
+    count = [sum(r["col"] == c for r in cells) for c in range(3)]
+    assert len(cells) == 8000 and count[0] > 3980 and abs(count[1] - count[2]) < 260
