@@ -209,6 +209,13 @@ def _(spark, sf):
     return G.bold_rates(log, 0.01).select("run", "time", F.round("rate", 9).alias("rate"))
 
 
+@query("t9_bold_driver_all", "WITH l AS (SELECT user_id AS run, event_id AS time, value AS obj, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS old FROM events) SELECT run, time, round(0.01::DOUBLE * exp(sum(ln(CASE WHEN old IS NULL THEN 1.0::DOUBLE WHEN obj > old THEN 0.5::DOUBLE ELSE 1.05::DOUBLE END)) OVER (PARTITION BY run ORDER BY time)), 9) AS rate FROM l")
+def _(spark, sf):
+    """Every event; t9_bold_driver stops at event_id 2000."""
+    log = X.table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("time"), F.col("value").alias("obj"))
+    return G.bold_rates(log, 0.01).select("run", "time", F.round("rate", 9).alias("rate"))
+
+
 # --- snapshots ---------------------------------------------------------------------------------------
 
 

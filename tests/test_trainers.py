@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
 from sparsewright.functions import bandwidth, power_law, size_number
@@ -141,3 +142,12 @@ def test_short_rows_go_on_with_the_same_sampling(spark):
     cells = synth.sample_cells(rows, spark.createDataFrame([(0, 98), (1, 1), (2, 1)], "col long, weight long"), 3).collect()
     count = [sum(r["col"] == c for r in cells) for c in range(3)]
     assert len(cells) == 8000 and count[0] > 3980 and abs(count[1] - count[2]) < 260
+
+
+def test_bold_driver_covers_every_event(spark):
+    from sparsewright.plans import catalogue
+
+    sf = "/root/testdata/sf0.01"
+    found = catalogue.queries()["t9_bold_driver_all"](spark, sf)
+    assert found.count() == spark.read.parquet(f"{sf}/events.parquet").count() > 2000
+    compare(spark, catalogue.queries()["t9_bold_driver_all"], catalogue.oracle_sql()["t9_bold_driver_all"], sf)
