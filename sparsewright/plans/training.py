@@ -166,6 +166,11 @@ def _scaled(spark, sf):
     return X.ratings(spark, sf, False).withColumn("value", F.col("value") / 10)
 
 
+def _parts(t, cells: int = 100_000) -> int:
+    """Parts that grow with the ratings: about `cells` of them each, two at least."""
+    return max(2, -(-t.count() // cells))
+
+
 @query("t3_rmse_per_epoch")
 def _(spark, sf):
     t = _scaled(spark, sf)
@@ -176,14 +181,38 @@ def _(spark, sf):
 
 @query("t6_biased")
 def _(spark, sf):
-    t = X.tiny(spark, sf)
-    return G.train(t, _start(t, K, True), 2, 2, 0.01, biased=True, mean=t.agg(F.avg("value")).first()[0], bold=(0.5, 1.0))[0]
+    t = _scaled(spark, sf)
+    return G.train(t, _start(t, K, True), _parts(t), 2, 0.01, biased=True, mean=t.agg(F.avg("value")).first()[0], bold=(0.5, 1.0))[0]
 
 
 @query("t13_rounds")
 def _(spark, sf):
-    t = X.tiny(spark, sf)
-    return spark.createDataFrame(G.train(t, _start(t), 2, 3, 0.01, 0.1)[1], "round int, step double, loss double")
+    t = _scaled(spark, sf)
+    return spark.createDataFrame(G.train(t, _start(t), _parts(t), 3, 0.01, 0.1)[1], "round int, step double, loss double")
+
+
+# the trainers above that SQL follows on the tiny matrix, on the ratings
+
+
+def _on_ratings(spark, sf, *args, **options):
+    t = _scaled(spark, sf)
+    return G.train(t, _start(t), _parts(t), 1, 0.02, *args, **options)[0]
+
+
+@query("t1_column_sweeps_ratings")
+@query("t3_stratified_ratings")
+def _(spark, sf):
+    return _on_ratings(spark, sf, 0.1)
+
+
+@query("t4_two_phase_blocks_ratings")
+def _(spark, sf):
+    return _on_ratings(spark, sf, 0.1, halves=2)
+
+
+@query("t11_reverse_order_ratings")
+def _(spark, sf):
+    return _on_ratings(spark, sf, reverse=True, bold=(0.5, 1.05))
 
 
 @query("t2_token_schedule", "SELECT CAST(e AS INTEGER) AS epoch, CAST(s AS INTEGER) AS sub, CAST(p AS INTEGER) AS part, CAST((p + s) % 4 AS INTEGER) AS block FROM range(1, 4) a(e), range(4) b(s), range(4) c(p)")
@@ -219,18 +248,22 @@ def _(spark, sf):
 # --- snapshots ---------------------------------------------------------------------------------------
 
 
-def _resumed(spark, sf, protocol):
+def _resumed(spark, t, parts, protocol):
     """Loss after three epochs in one run, and after one epoch, a snapshot and two resumed ones."""
-    t = X.tiny(spark, sf)
     folder = f"{P.shared_folder(spark)}/model-{protocol}-{spark.sparkContext.applicationId}-{id(t)}"
-    straight = G.train(t, _start(t), 2, 3, 0.02, 0.1, strategy="wor")[0]
-    first = G.train(t, _start(t), 2, 1, 0.02, 0.1, strategy="wor")[0].withColumn("grp", F.pmod("id", F.lit(2)).cast("int"))
+    straight = G.train(t, _start(t), parts, 3, 0.02, 0.1, strategy="wor")[0]
+    first = G.train(t, _start(t), parts, 1, 0.02, 0.1, strategy="wor")[0].withColumn("grp", F.pmod("id", F.lit(parts)).cast("int"))
     P.save(first, folder, 1, protocol)
-    then = G.train(t, _start(t), 2, 3, 0.02, 0.1, strategy="wor", folder=folder, interval=9, resume=1)[0]
+    then = G.train(t, _start(t), parts, 3, 0.02, 0.1, strategy="wor", folder=folder, interval=9, resume=1)[0]
     same = straight.withColumnRenamed("vec", "a").join(then.withColumnRenamed("vec", "b"), ["kind", "id"])
     return same.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("a") != F.col("b")).cast("long")).alias("different"))
 
 
+def _resumed_ratings(spark, sf, protocol):
+    t = _scaled(spark, sf)
+    return _resumed(spark, t, _parts(t), protocol)
+
+
 _SAME = "WITH " + X.TINY + " SELECT 'row' AS kind, count(DISTINCT r) AS n, 0::BIGINT AS different FROM m UNION ALL SELECT 'col', count(DISTINCT c), 0 FROM m"
 
 
@@ -238,17 +271,34 @@ _SAME = "WITH " + X.TINY + " SELECT 'row' AS kind, count(DISTINCT r) AS n, 0::BI
 @query("c4_periodic_snapshot", _SAME)
 @query("c5_resume", _SAME)
 def _(spark, sf):
-    return _resumed(spark, sf, "sync")
+    return _resumed(spark, X.tiny(spark, sf), 2, "sync")
 
 
 @query("c2_async_snapshot", _SAME)
 def _(spark, sf):
-    return _resumed(spark, sf, "async")
+    return _resumed(spark, X.tiny(spark, sf), 2, "async")
 
 
 @query("c3_vs_snapshot", _SAME)
 def _(spark, sf):
-    return _resumed(spark, sf, "vs")
+    return _resumed(spark, X.tiny(spark, sf), 2, "vs")
+
+
+@query("c1_sync_snapshot_ratings")
+@query("c4_periodic_snapshot_ratings")
+@query("c5_resume_ratings")
+def _(spark, sf):
+    return _resumed_ratings(spark, sf, "sync")
+
+
+@query("c2_async_snapshot_ratings")
+def _(spark, sf):
+    return _resumed_ratings(spark, sf, "async")
+
+
+@query("c3_vs_snapshot_ratings")
+def _(spark, sf):
+    return _resumed_ratings(spark, sf, "vs")
 
 
 # --- generator ---------------------------------------------------------------------------------------

@@ -151,3 +151,50 @@ def test_bold_driver_covers_every_event(spark):
     found = catalogue.queries()["t9_bold_driver_all"](spark, sf)
     assert found.count() == spark.read.parquet(f"{sf}/events.parquet").count() > 2000
     compare(spark, catalogue.queries()["t9_bold_driver_all"], catalogue.oracle_sql()["t9_bold_driver_all"], sf)
+
+
+SF_RATINGS = "/root/testdata/sf0.001"
+
+
+def _followed(t, start, parts, halves=1, reverse=False, step=0.0, lam=0.05):
+    """One epoch of cyclic strata over `t`, cell by cell."""
+    vec = {(r["kind"], r["id"]): np.array(r["vec"]) for r in start.collect()}
+    cells = sorted(((r["col"], r["row"], r["value"]) for r in t.collect()), reverse=reverse)
+    for s in range(parts):
+        for half in range(halves):
+            for p in range(parts):
+                block = (p + s) % parts * halves + half
+                for c, r, v in cells:
+                    if r % parts == p and c % (parts * halves) == block:
+                        w, h = vec["row", r], vec["col", c]
+                        e = w @ h - v
+                        vec["row", r], vec["col", c] = w - step * (e * h + lam * w), h - step * (e * w + lam * h)
+    return vec
+
+
+@pytest.mark.parametrize(
+    ("name", "options"),
+    [("t1_column_sweeps", {}), ("t3_stratified", {}), ("t4_two_phase_blocks", {"halves": 2}), ("t11_reverse_order", {"reverse": True})],
+)
+def test_trainers_on_the_ratings_follow_the_sequential_rule(spark, name, options):
+    from sparsewright.plans import catalogue, training
+
+    t = training._scaled(spark, SF_RATINGS)
+    want = _followed(t, training._start(t), training._parts(t), step=0.02 if "reverse" in options else 1.5 * 0.02 / 1.1, **options)
+    got = {(r["kind"], r["id"]): r["vec"] for r in catalogue.queries()[f"{name}_ratings"](spark, SF_RATINGS).collect()}
+    assert got.keys() == want.keys() and len(got) > 200
+    assert all(got[k] == pytest.approx(want[k].tolist(), abs=1e-9) for k in want)
+
+
+def test_other_trainers_run_on_the_ratings(spark):
+    from sparsewright.plans import catalogue, training
+
+    t = training._scaled(spark, SF_RATINGS)
+    sides = {kind: t.select(kind).distinct().count() for kind in ("row", "col")}
+    biased = catalogue.queries()["t6_biased"](spark, SF_RATINGS).collect()
+    assert {k: sum(r["kind"] == k for r in biased) for k in sides} == sides and all(np.isfinite(r["vec"]).all() for r in biased)
+    losses = [r["loss"] for r in catalogue.queries()["t13_rounds"](spark, SF_RATINGS).orderBy("round").collect()]
+    assert losses[0] > losses[1] > losses[2] > 0
+    same = catalogue.queries()["c2_async_snapshot_ratings"](spark, SF_RATINGS).collect()
+    assert {r["kind"]: r["n"] for r in same} == sides and not any(r["different"] for r in same)
+    assert training._parts(spark.range(250_001)) == 3 and training._parts(t) == 2
