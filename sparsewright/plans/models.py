@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -275,3 +277,30 @@ def _(spark, sf):
     each = cols.join(F.broadcast(some)).select("col", "vec", F.explode("some").alias("r")).select(F.col("r.row").alias("row"), "col", pred.alias("pred"))
     part = Window.partitionBy("row").orderBy(F.col("pred").desc(), "col")
     return each.withColumn("place", F.row_number().over(part).cast("long")).filter("place <= 5")
+
+
+TOP, ROW_BLOCK, COL_BLOCK = 5, 512, 4096
+
+
+def _best(batches):
+    """The best `TOP` columns of a block of columns for each row of a block of rows; of equals the smallest ids."""
+    for batch in batches:
+        for rows, w, cols, h in zip(*(batch[n] for n in ("rows", "w", "cols", "h")), strict=True):
+            pred = np.floor(w.reshape(len(rows), -1) @ h.reshape(len(cols), -1).T * 1e6 + 0.5) / 1e6
+            top = np.argsort(-pred, axis=1, kind="stable")[:, :TOP]
+            yield pd.DataFrame({"row": np.repeat(rows, top.shape[1]), "col": cols[top].ravel(), "pred": np.take_along_axis(pred, top, 1).ravel()})
+
+
+def _blocks(side, key, size, ids, vecs):
+    packed = side.groupBy(F.floor(F.col(key) / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct(key, "vec"))).alias("s"))
+    return packed.select(F.col(f"s.{key}").alias(ids), F.flatten("s.vec").alias(vecs))
+
+
+@query("extension_top_items_all", W + X.TRAIN + ", " + X.given() + f', p AS (SELECT r, c, round({DOT}, 6) AS p FROM w, h), k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY p DESC, c) AS n FROM p) SELECT r AS "row", c AS col, p AS pred, n AS place FROM k WHERE n <= 5')
+def _(spark, sf):
+    """The best items of every row, by blocks of rows and columns; extension_top_items has the first twenty rows."""
+    rows, cols = _model(X.ratings(spark, sf, False))
+    pairs = _blocks(rows, "row", ROW_BLOCK, "rows", "w").crossJoin(_blocks(cols, "col", COL_BLOCK, "cols", "h"))
+    each = pairs.repartition("rows", "cols").mapInPandas(_best, "row long, col long, pred double")
+    part = Window.partitionBy("row").orderBy(F.col("pred").desc(), "col")
+    return each.withColumn("place", F.row_number().over(part).cast("long")).filter(F.col("place") <= TOP)

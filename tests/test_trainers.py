@@ -198,3 +198,14 @@ def test_other_trainers_run_on_the_ratings(spark):
     same = catalogue.queries()["c2_async_snapshot_ratings"](spark, SF_RATINGS).collect()
     assert {r["kind"]: r["n"] for r in same} == sides and not any(r["different"] for r in same)
     assert training._parts(spark.range(250_001)) == 3 and training._parts(t) == 2
+
+
+def test_best_items_of_every_row(spark, monkeypatch):
+    from sparsewright.plans import catalogue, fixtures, models
+
+    monkeypatch.setattr(models, "ROW_BLOCK", 40)
+    monkeypatch.setattr(models, "COL_BLOCK", 30)
+    query, sql = catalogue.queries()["extension_top_items_all"], catalogue.oracle_sql()["extension_top_items_all"]
+    ids = {r["row"] for r in fixtures.ratings(spark, SF_RATINGS, False).select("row").distinct().collect()}
+    assert {r["row"] for r in query(spark, SF_RATINGS).select("row").collect()} == ids and max(ids) > 20
+    compare(spark, query, sql, SF_RATINGS)
