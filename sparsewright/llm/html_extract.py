@@ -1,13 +1,20 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is read once into blocks: runs of text between the starts and ends of block elements.  Each block
-has a score from a linear classifier over its text and its ancestors (`WEIGHTS`).  In a flow network a block
-with a positive score is joined to the source with that capacity, one with a negative score to the sink.
-Smoothness edges join blocks that follow one another and blocks of one parent, the weaker the farther
-apart they are in the DOM.  The minimum cut is the labelling of least cost: what the classifier is
-overruled by, plus the edges between content and boilerplate.
-
-Blocks whose score outweighs all their edges have that label in every minimum cut; they are settled first,
+A page is read once into blocks: runs of text between the starts and ends of block elements.  Elements whose
+tag or names say what they hold are kept as well (`Holder`).  In a flow network
+
+* a block has the cost that a linear classifier over its own text gives (`WEIGHTS`: length, sentences, share
+  of links, kind of element), as the capacity of its arc from the source (content) or to the sink
+  (boilerplate); a name of the element that holds it adds less to it than one edge weighs;
+* a holder has the cost of its kind (`HOLDERS`) in the same way, more for a tag that holds many blocks;
+* smoothness edges (DOM proximity) join a block with the innermost holder around it, a holder with the one
+  around it, blocks that follow one another, and blocks of one parent, weaker the farther apart they are.
+
+The minimum cut is the labelling of least cost: what the classifier is overruled by, plus the edges between
+content and boilerplate.  A short title or a one-word paragraph, boilerplate by its own text, is content by
+its surroundings; a well written paragraph of a footer the other way round.
+
+Nodes whose cost outweighs all their edges have that label in every minimum cut; they are settled first,
 and what they pull at their neighbours is added to those.  Max-flow decides the others.
 """
 
@@ -17,6 +24,7 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,38 +38,82 @@ BLOCK = frozenset(
 SILENT = frozenset("head title script style noscript template svg math iframe object audio video canvas map select option optgroup textarea button datalist".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset search address".split())
 CONTENT_TAGS = frozenset("article main".split())
-BOILERPLATE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|sidebar|side|aside|footer|foot|header|masthead|topbar|ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|toast|comment\w*|respond|disqus|discussion|reply|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|searchform|form|widget|breadcrumb\w*|pager|pagination|tags|copyright|legal|toolbar|skip|contentinfo|complementary|dialog|outbrain|taboola)(?:$|[\s_-])",
-    re.I,
+#: Names (words of class, id and role) of elements that hold boilerplate, of those that hold content, and words
+#: that say nothing in a name of several words.
+BOILERPLATE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog discussion disqus footer gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination popup promo promos promoted promotion recommendations recommended related replies reply respond search searchform share sharing sidebar signup skip social sponsor sponsored sponsors subscribe taboola tags toast toolbar topbar widget widgets".split()
 )
-CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text|page-content|articlebody)(?:$|[\s_-])", re.I)
-#: The linear classifier: what each property of a block adds to its score for content.
-WEIGHTS = {"base": -1.2, "in_content": 3.5, "content_word": 1.2, "boilerplate": -9.0, "header": -6.0, "per_word": 0.06, "most_words": 1.8, "sentence": 0.5, "paragraph": 0.7, "heading": 0.5, "link_share": -3.5, "list_item": -0.4}
-ADJACENT, SIBLING = 0.5, 0.4
+CONTENT_WORDS = frozenset("article articlebody content entry main post story text body".split())
+PLAIN_WORDS = frozenset("area bar block bottom box container fixed form global inner item items left link links list message outer page panel primary right secondary section site sticky sub the top wrap wrapper web".split())
+#: The linear classifier: what each property of a block's own text adds to its score for content, and what
+#: the names of its holder add.
+WEIGHTS = {"base": -1.4, "per_word": 0.06, "most_words": 1.8, "sentence": 0.5, "paragraph": 0.7, "heading": 0.5, "link_share": -3.5, "list_item": -0.4, "content_name": 1.2, "boilerplate_name": -2.7}
+#: Costs of holders, and what each block they hold adds: by tag, and by names.
+HOLDERS = {"content_tag": (8.0, 2.0), "boilerplate_tag": (-8.0, -2.0), "content_name": (1.2, 0.0), "boilerplate_name": (-2.7, 0.0)}
+#: Edges: of a block and its holder, of a holder and the one around it, of neighbours, of siblings.
+HELD, NESTED, ADJACENT, SIBLING = 3.0, 1.0, 0.5, 0.4
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(script|style)\b(?:.*?</\1\s*>|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S | re.I)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
+class Holder(NamedTuple):
+    """An element that says what it holds: a key of `HOLDERS`, and the holder around it (-1 for none)."""
+
+    kind: str
+    around: int
+
+
 class Block:
-    __slots__ = ("depth", "links", "parent", "parts", "state", "tag", "words")
+    __slots__ = ("depth", "holder", "links", "parent", "parts", "tag", "words")
 
-    def __init__(self, tag: str, parent: int, state: tuple, depth: int):
-        self.tag, self.parent, self.state, self.depth = tag, parent, state, depth
+    def __init__(self, tag: str, parent: int, holder: int, depth: int):
+        self.tag, self.parent, self.holder, self.depth = tag, parent, holder, depth
         self.parts, self.links = [], 0
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks with text, in page order, white space inside turned into single spaces."""
-    # an open element: tag, number, (in content, content word, boilerplate, header, link), silent
-    stack = [("", 0, (False, False, False, False, False), False)]
-    out, number, at = [], 0, 0
+def _named(attributes: str) -> str:
+    """What the class, id and role say: "content", "boilerplate" or nothing.
+
+    A name is boilerplate if all its words are, or say nothing, and one is; `entry-header` and `has-sidebar`
+    are not.  An element that has names of both kinds is content.
+    """
+    found = ""
+    for attribute, value in _ATTRIBUTE.findall(attributes):
+        if attribute.lower() not in ("class", "id", "role"):
+            continue
+        for name in value.strip("\"'").lower().split():
+            words = [w for w in re.split(r"[-_]+|(?<=[a-z])\d+$", name) if w]
+            if any(w in CONTENT_WORDS for w in words):
+                if len(words) == 1 or all(w in CONTENT_WORDS or w in PLAIN_WORDS for w in words):
+                    return "content"
+            elif any(w in BOILERPLATE_WORDS for w in words) and all(w in BOILERPLATE_WORDS or w in PLAIN_WORDS for w in words):
+                found = "boilerplate"
+    return found
+
+
+def _kind(tag: str, attributes: str, inside: str) -> str:
+    """The kind of holder that an element is, if any.  inside: the kind of the holder around it."""
+    if tag in BOILERPLATE_TAGS or (tag == "header" and inside != "content_tag"):
+        return "boilerplate_tag"
+    name = _named(attributes) if attributes and tag not in ("body", "html") else ""
+    if tag in CONTENT_TAGS and name != "boilerplate":
+        # an article among boilerplate is one of a list of teasers, or a reader's comment
+        return "" if inside == "boilerplate_name" else "content_tag"
+    return name and f"{name}_name"
+
+
+def blocks(page: str) -> tuple[list[Block], list[Holder]]:
+    """The page's blocks with text, in page order, white space inside turned into single spaces, and the holders."""
+    # an open element: tag, number, innermost holder, in a link, silent
+    stack = [("", 0, -1, False, False)]
+    out, holders, number, at = [], [], 0, 0
     block = None
 
     def text(piece: str) -> None:
         nonlocal block
-        tag, _, state, silent = stack[-1]
+        _, _, holder, link, silent = stack[-1]
         if silent or not piece:
             return
         if block is None:
@@ -70,11 +122,11 @@ def blocks(page: str) -> list[Block]:
             k = len(stack) - 1
             while k and stack[k][0] not in BLOCK:
                 k -= 1
-            block = Block(stack[k][0], stack[k - 1][1] if k else 0, state, k)
+            block = Block(stack[k][0], stack[k - 1][1] if k else 0, holder, k)
             out.append(block)
         piece = html.unescape(piece) if "&" in piece else piece
         block.parts.append(piece)
-        if state[4]:
+        if link:
             block.links += len(piece)
 
     def pop(k: int) -> None:
@@ -112,36 +164,40 @@ def blocks(page: str) -> list[Block]:
                 text(" ")
             continue
         number += 1
-        content, word, boiler, header, link = stack[-1][2]
-        names = " ".join(x.strip("\"'") for x in _NAMES.findall(m[4])) if m[4] else ""
-        if tag in CONTENT_TAGS:
-            content = True
-        if tag in BOILERPLATE_TAGS or (names and tag not in ("body", "html") and BOILERPLATE_WORDS.search(names)):
-            boiler = True
-        elif names and CONTENT_WORDS.search(names):
-            word = True
-        if tag == "header" and not content:
-            header = True
-        if tag == "a":
-            link = True
+        _, _, holder, link, silent = stack[-1]
+        kind = _kind(tag, m[4], holders[holder].kind if holder >= 0 else "")
+        if kind:
+            holders.append(Holder(kind, holder))
+            holder = len(holders) - 1
         if not m[4].endswith("/"):
-            stack.append((tag, number, (content, word, boiler, header, link), stack[-1][3] or tag in SILENT))
+            stack.append((tag, number, holder, link or tag == "a", silent or tag in SILENT))
     text(page[at:])
     for b in out:
         b.words = " ".join("".join(b.parts).split())
-    return [b for b in out if b.words]
+    return [b for b in out if b.words], holders
 
 
-def score(b: Block) -> float:
-    content, word, boiler, header, _ = b.state
+def score(b: Block, kind: str = "") -> float:
+    """The classifier's score of a block whose innermost holder is of this kind."""
     w, n = WEIGHTS, b.words.count(" ") + 1
-    s = w["base"] + min(w["per_word"] * n, w["most_words"])
-    s += content * w["in_content"] + word * w["content_word"] + boiler * w["boilerplate"] + header * w["header"]
+    s = w["base"] + min(w["per_word"] * n, w["most_words"]) + w.get(kind, 0.0)
     s += (b.words[-1] in ".!?…:;\"'”»") * w["sentence"] + (b.tag in ("p", "blockquote", "pre")) * w["paragraph"]
     s += (len(b.tag) == 2 and b.tag[0] == "h" and b.tag[1].isdigit()) * w["heading"] + (b.tag == "li") * w["list_item"]
     return s + w["link_share"] * min(1.0, b.links / len(b.words))
 
 
+def network(found: list[Block], holders: list[Holder]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Costs and edges of the blocks, followed by the holders."""
+    n = len(found)
+    costs = [score(b, holders[b.holder].kind if b.holder >= 0 else "") for b in found] + [HOLDERS[h.kind][0] for h in holders]
+    for b in found:
+        if b.holder >= 0:
+            costs[n + b.holder] += HOLDERS[holders[b.holder].kind][1]
+    links = [(i, n + b.holder, HELD) for i, b in enumerate(found) if b.holder >= 0]
+    links += [(n + i, n + h.around, NESTED) for i, h in enumerate(holders) if h.around >= 0]
+    return costs, links + edges(found)
+
+
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness edges (i, j, capacity) of blocks in page order."""
     out, last = [], {}
@@ -229,11 +285,11 @@ def _source_side(nodes: list[int], unary: list[float], near: list[dict[int, floa
 
 def main_text(page: str) -> str:
     """The main text of a page; empty if it has none."""
-    found = blocks(page)
+    found, holders = blocks(page)
     if not found:
         return ""
-    keep = minimum_cut([score(b) for b in found], edges(found))
-    return " ".join(b.words for b, k in zip(found, keep, strict=True) if k)
+    keep = minimum_cut(*network(found, holders))
+    return " ".join(b.words for b, k in zip(found, keep, strict=False) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
