@@ -71,13 +71,23 @@ def min_updated(ncols: Column, portion: float) -> Column:
     return F.greatest(F.lit(1), F.floor(ncols * portion))
 
 
-def recovery_time(i: float, p: float, o: float, each: float, ci: float, progress: Column, scratch: bool = False) -> Column:
-    """Time of a run that fails at `progress` and resumes from its last checkpoint, or starts again."""
-    done = (p * progress / ci).cast("int")
-    left = (p * (1 - progress) / ci).cast("int")
+def recovery_time(setup: float, work: float, output: float, cost: float, interval: float, progress: Column, scratch: bool = False) -> Column:
+    """Time of a run that fails once a share `progress` of its work is done, and is run again.
+
+    A run sets up, works, and writes its output; a checkpoint every `interval` of work takes `cost`.  The
+    second run goes on from the last checkpoint; from `scratch` there are no checkpoints and it does all.
+    """
+    lost = setup + work * progress
     if scratch:
-        return (i + p * progress) + F.lit(i + p + o)
-    return (i + p * progress + done * each) + (i + p - done * ci + left * each + o)
+        return lost + setup + work + output
+    saved = F.floor(work * progress / interval)  # checkpoints before the failure
+    more = F.floor(work * (1 - progress) / interval)  # and in the time that the rest takes from there on
+    return lost + setup + (work - saved * interval) + output + (saved + more) * cost
+
+
+def md5_unit(*parts: Column) -> Column:
+    """A number in [0, 1) from the MD5 of the parts joined by colons: 52 bits, the same in any SQL engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def power_law(u: Column, xmin: float, alpha: float) -> Column:

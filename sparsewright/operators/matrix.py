@@ -5,30 +5,32 @@ Every function takes and returns DataFrames lazily.  Ids are 0-based integers; a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoint import cut
 
-def id_map(ids: DataFrame, shuffled: bool = False) -> DataFrame:
-    """(id, idx): dense 0-based numbers of the distinct ids, by id, or by the MD5 of the id if `shuffled`.
 
-    Numbers come from per-bucket counts: only one row per bucket meets in one task, not every id.
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds `idx`, the place of a row in the order of the columns `order`, from 0.
+
+    The rows are dealt into ranges and written once with the number of their range; places come from the
+    ranges' counts and from within the ranges, so only one row per range meets in one task.
     """
-    distinct = ids.select(F.col(ids.columns[0]).alias("id")).distinct().filter("id is not null")
-    if shuffled:
-        order = F.md5(F.col("id").cast("string"))
-        keyed = distinct.withColumn("order", order).withColumn("bucket", F.substring("order", 1, 3))
-    else:
-        keyed = distinct.withColumn("order", F.col("id")).withColumn("bucket", _leading(F.col("id"), distinct))
-    counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("order", "id")))
-    return placed.join(counts.select("bucket", before.alias("before")), "bucket").select("id", (F.col("before") + F.col("rank") - 1).alias("idx"))
+    dealt = cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    counts = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    placed = dealt.withColumn("__own", own).join(counts.select("__range", before.alias("__before")), "__range")
+    return placed.withColumn("idx", F.col("__before") + F.col("__own") - 1).drop("__range", "__own", "__before")
 
 
-def _leading(id_: Column, ids: DataFrame) -> Column:
-    """A coarse key in the order of the ids: the first characters of strings, numbers without their last three digits."""
-    return F.substring(id_, 1, 2) if ids.schema["id"].dataType.simpleString() == "string" else F.floor(id_ / 1000)
+def id_map(ids: DataFrame, shuffled: bool = False) -> DataFrame:
+    """(id, idx): dense 0-based numbers of the distinct ids, by id, or by the MD5 of the id if `shuffled`."""
+    distinct = ids.select(F.col(ids.columns[0]).alias("id")).distinct().filter("id is not null")
+    if shuffled:
+        return numbered(distinct.withColumn("order", F.md5(F.col("id").cast("string"))), "order", "id").select("id", "idx")
+    return numbered(distinct, "id")
 
 
 def encode(triples: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
@@ -49,11 +51,9 @@ def dimensions(t: DataFrame) -> DataFrame:
 
 
 def dense_ids(t: DataFrame, key: str) -> DataFrame:
-    """0 .. max id, one row each; the range is produced in parallel."""
-    top = t.agg(F.max(key).alias("m"))
-    return top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("m") / 1024).cast("long"))).alias("b"), "m").select(
-        F.explode(F.sequence(F.col("b") * 1024, F.least(F.col("b") * 1024 + 1023, F.col("m").cast("long")))).alias(key)
-    )
+    """0 .. max id, one row each, in as many partitions as the session's default parallelism."""
+    top = t.agg(F.max(key)).first()[0]
+    return t.sparkSession.range(0 if top is None else int(top) + 1).select(F.col("id").alias(key))
 
 
 def degrees(t: DataFrame, key: str) -> DataFrame:
@@ -113,7 +113,7 @@ def csc(t: DataFrame) -> DataFrame:
 
 def row_subset(t: DataFrame, rows: DataFrame) -> DataFrame:
     """`rows` (row), repeats kept: the listed rows, renumbered by their place in sorted order."""
-    placed = rows.select("row", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("row")) - 1).cast("long").alias("new"))
+    placed = numbered(rows.select("row"), "row").withColumnRenamed("idx", "new")
     return t.join(placed, "row").select(F.col("new").alias("row"), "col", "value")
 
 

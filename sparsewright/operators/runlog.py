@@ -86,6 +86,27 @@ def parse_checkpoints(lines: DataFrame) -> DataFrame:
     return hits.select(strip(8).cast("int").alias("n"), strip(10).cast("double").alias("time"), strip(12).cast("double").alias("cost"))
 
 
+def statistics_block(stats: DataFrame, rmse_digits: int = 10, digits: int = 4) -> DataFrame:
+    """Adds `block`, the text that a run reports after a round; the lines on checkpoints only where there are any.
+
+    stats: elapsed, train_time, test_time, train_sse, train_n, test_sse, test_n, updates, failures, sends,
+    checkpoints, cp_master, cp_workers, cp_write (seconds), workers.
+    """
+    r, d, c = f"%.{rmse_digits}f", f"%.{digits}f", F.col
+    rmse = lambda side: F.sqrt(c(f"{side}_sse") / c(f"{side}_n"))
+    rule = F.lit("=" * 53)
+    lines = [
+        F.lit("Statistics:"), rule,
+        F.format_string(f"elapsed time: {d} total training time: {d} total testing time: {d} current training RMSE: {r}", "elapsed", "train_time", "test_time", rmse("train")),
+        F.format_string(f"current test RMSE: {r}", rmse("test")),
+        F.format_string(f"detail: train: s={d}, c=%d; test: s={d}, c=%d; u=%d, f=%d, s=%d", "train_sse", "train_n", "test_sse", "test_n", "updates", "failures", "sends"),
+        F.when(c("checkpoints") > 0, F.format_string(f"Number of checkpoints: %d Total time by master: {d} by worker: {d} each one: {d}", "checkpoints", "cp_master", "cp_workers", c("cp_master") / c("checkpoints"))),
+        F.when(c("checkpoints") > 0, F.format_string(f"Total checkpoint writing time: {d} each one: {d} average on worker: {d}", "cp_write", c("cp_write") / c("checkpoints"), c("cp_write") / c("checkpoints") / c("workers"))),
+        rule,
+    ]
+    return stats.withColumn("block", F.concat_ws("\n", *lines))
+
+
 def termination(log: DataFrame, min_error: float, stop_rmse: float, min_updates: int) -> DataFrame:
     """Adds `stop`: the change is at most min_error, or rmse at most stop_rmse after min_updates."""
     by_change = F.abs("diff") <= min_error

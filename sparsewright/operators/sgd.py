@@ -3,19 +3,28 @@
 Rows are pinned to parts, columns to blocks.  In a sub-epoch every part owns another block, so no two parts
 share a row or a column and each part can be swept on its own, in order, exactly as the sequential rule
 says.  One cogrouped fold per sub-epoch runs all parts; factors are one tagged table (kind, id, group, vec),
-written after each sub-epoch.  A part and a block must fit one task: choose `parts` accordingly.
+written after each sub-epoch, and the table before it is deleted.  Ratings are written once by (part, block):
+a sub-epoch reads its own cells only, an epoch reads each once.  A part and a block must fit one task:
+choose `parts` accordingly.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .checkpoint import cut, load, save
+from ..functions import dot, md5_unit
+from .checkpoint import cut, forget, load, save, scratch
 
 STRATEGIES = ("cyclic", "wor", "semi", "wr")
+#: Epochs before a training RMSE that is small enough ends a run.
+SETTLED = 8
 
 
 def strata(parts: int, epoch: int, strategy: str = "cyclic", seed: int = 12345) -> list[list[int]]:
@@ -35,6 +44,55 @@ def strata(parts: int, epoch: int, strategy: str = "cyclic", seed: int = 12345)
     return [((rows + o) % parts).tolist() for o in offsets]
 
 
+class Scheduler:
+    """Hands out the least visited block whose row part and column block are free; of equals the first in `order`."""
+
+    def __init__(self, parts: int, seed: int | None = None):
+        self.parts, self.visits, self.order = parts, np.zeros(parts * parts, np.int64), np.arange(parts * parts)
+        self.busy_rows, self.busy_cols = np.zeros(parts, bool), np.zeros(parts, bool)
+        self.rng = None if seed is None else np.random.default_rng(seed)
+
+    def take(self) -> tuple[int, int] | None:
+        """(part, block), which are busy until `free`; None if every block is blocked."""
+        part, block = self.order // self.parts, self.order % self.parts
+        open_ = np.flatnonzero(~self.busy_rows[part] & ~self.busy_cols[block])
+        if not len(open_):
+            return None
+        job = int(self.order[open_[self.visits[self.order[open_]].argmin()]])
+        self.visits[job] += 1
+        self.busy_rows[job // self.parts] = self.busy_cols[job % self.parts] = True
+        return job // self.parts, job % self.parts
+
+    def free(self) -> None:
+        self.busy_rows[:] = self.busy_cols[:] = False
+
+    def mix(self) -> None:
+        """Another order of equals, as between rounds."""
+        if self.rng is not None:
+            self.order = self.rng.permutation(self.order)
+
+
+def least_visited(parts: int, workers: int, epochs: int, seed: int | None = None) -> Iterator[list[list[int | None]]]:
+    """For each epoch its sub-epochs: the block that each part gets from the scheduler, None for an idle part.
+
+    `workers` jobs run at once; an epoch ends after parts * parts jobs.
+    """
+    scheduler = Scheduler(parts, seed)
+    for _ in range(epochs):
+        waves, left = [], parts * parts
+        while left:
+            owned: list[int | None] = [None] * parts
+            for _ in range(min(workers, left)):
+                if (job := scheduler.take()) is None:
+                    break
+                owned[job[0]] = job[1]
+            scheduler.free()
+            left -= sum(b is not None for b in owned)
+            waves.append(owned)
+        scheduler.mix()
+        yield waves
+
+
 def schedule(spark: SparkSession, parts: int, epochs: int, strategy: str = "cyclic", seed: int = 12345, halves: int = 1) -> DataFrame:
     """(epoch, sub, part, block); with `halves` = 2 each block is visited in two phases (a finer schedule)."""
     rows = [
@@ -44,26 +102,74 @@ def schedule(spark: SparkSession, parts: int, epochs: int, strategy: str = "cycl
     return spark.createDataFrame(rows, "epoch int, sub int, part int, block int")
 
 
+def token_routes(spark: SparkSession, tokens: int, ranks: int, threads: int, reuse: int = 1, seed: int = 12345, ring: bool = True) -> DataFrame:
+    """(token, hop, rank, place, thread): the way of every column token through all ranks once.
+
+    At a rank a token visits the threads in a random order of its own, `reuse` times over; then it goes to
+    the next rank of a ring, or to the next of its own random order of the ranks.
+    """
+    each = spark.range(tokens).select(F.col("id").alias("token"), F.explode(F.sequence(F.lit(0), F.lit(ranks - 1))).alias("hop"))
+    by = lambda *keys: F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") if isinstance(k, str) else k for k in keys)))
+    ordered = lambda n, name, *keys: F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: F.struct(by(F.lit(name), *keys, x.cast("string")).alias("o"), x.alias("x")))), lambda s: s["x"])
+    rank = F.pmod(F.col("token") + F.col("hop"), F.lit(ranks)).cast("int") if ring else F.element_at(ordered(ranks, "rank", "token"), F.col("hop") + 1)
+    threaded = each.withColumn("rank", rank).withColumn("perm", ordered(threads, "thread", "token", "hop"))
+    return threaded.select("token", "hop", "rank", F.posexplode(F.flatten(F.array_repeat("perm", reuse))).alias("place", "thread"))
+
+
+#: Starts of factors: uniform in [0, 1 / sqrt(dim)), and in [0, 0.1).
+STARTS = {"scaled": lambda dim: 1.0 / math.sqrt(dim), "small": lambda dim: 0.1}
+
+
+def start(t: DataFrame, dim: int, seed: int = 12345, kind: str = "scaled", biased: bool = False) -> DataFrame:
+    """(kind, id, vec): seeded random factors for every row and column of `t`, zero biases behind if `biased`.
+
+    A number depends on (seed, side, id, place) only, so it is the same however the table is dealt.
+    """
+    if kind not in STARTS:
+        raise ValueError(f"kind is one of {tuple(STARTS)}")
+    side = lambda key: t.select(F.lit(key).alias("kind"), F.col(key).cast("long").alias("id")).distinct()
+    draw = lambda x: md5_unit(F.lit(str(seed)), F.col("kind"), F.col("id").cast("string"), x.cast("string")) * STARTS[kind](dim)
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), draw)
+    return side("row").unionByName(side("col")).withColumn("vec", F.concat(vec, F.array(F.lit(0.0))) if biased else vec)
+
+
+def levels(i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+    """Ratings in the order of a sequential sweep, dealt into runs without a repeated row or column.
+
+    A rating comes one run after the last before it that shares its row or its column: sweeping run by run,
+    each at once, is the sequential sweep.
+    """
+    if not len(i):
+        return []
+    rows, cols, at = [0] * (int(i.max()) + 1), [0] * (int(j.max()) + 1), []
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        n = rows[a] if rows[a] > cols[b] else cols[b]
+        at.append(n)
+        rows[a] = cols[b] = n + 1
+    at = np.array(at)
+    order = np.argsort(at, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(at[order])) + 1)
+
+
 def sweep(w: np.ndarray, h: np.ndarray, i: np.ndarray, j: np.ndarray, v: np.ndarray, step: float, lam: float) -> None:
     """The sequential rule, in place: e = <w, h> - v; both sides step at once."""
-    for a, b, x in zip(i.tolist(), j.tolist(), v.tolist(), strict=True):
+    for run in levels(i, j):
+        a, b = i[run], j[run]
         p, q = w[a], h[b]
-        e = p @ q - x
-        p_new = p - step * (e * q + lam * p)
-        h[b] = q - step * (e * p + lam * q)
-        w[a] = p_new
+        e = (np.einsum("nk,nk->n", p, q) - v[run])[:, None]
+        w[a], h[b] = p - step * (e * q + lam * p), q - step * (e * p + lam * q)
 
 
 def sweep_biased(w, h, i, j, v, step, lam_p, lam_q, mean=0.0) -> None:
     """The rule with biases, kept in the last column of each side: e = v - prediction; biases shrink with the factors' penalties."""
     k = w.shape[1] - 1
-    for a, b, x in zip(i.tolist(), j.tolist(), v.tolist(), strict=True):
-        p, q = w[a].copy(), h[b].copy()
-        e = x - (p[:k] @ q[:k] + mean + p[k] + q[k])
-        w[a, :k] = step * e * q[:k] + (1 - step * lam_p) * p[:k]
-        h[b, :k] = step * e * p[:k] + (1 - step * lam_q) * q[:k]
-        w[a, k] = (1 - step * lam_p) * p[k] + step * e
-        h[b, k] = (1 - step * lam_q) * q[k] + step * e
+    for run in levels(i, j):
+        a, b = i[run], j[run]
+        p, q = w[a], h[b]
+        e = (v[run] - np.einsum("nk,nk->n", p[:, :k], q[:, :k]) - mean - p[:, k] - q[:, k])[:, None]
+        one = np.ones_like(e)
+        w[a] = (1 - step * lam_p) * p + step * e * np.hstack([q[:, :k], one])
+        h[b] = (1 - step * lam_q) * q + step * e * np.hstack([p[:, :k], one])
 
 
 SCHEMA = "kind string, id long, grp int, vec array<double>"
@@ -83,60 +189,110 @@ def _fold(step: float, lam: float, reverse: bool, biased: bool, mean: float):
     return fold
 
 
-def sub_epoch(ratings: DataFrame, factors: DataFrame, owned: list[int], step: float, lam: float, reverse: bool = False, biased: bool = False, mean: float = 0.0) -> DataFrame:
-    """ratings (row, col, value, part, block), factors (kind, id, grp, vec): one stratum."""
-    block_of = F.element_at(F.array(*map(F.lit, owned)), F.col("part") + 1)
-    owner = {b: p for p, b in enumerate(owned)}
-    part_of = F.try_element_at(F.array(*(F.lit(owner.get(b, -1 - b)) for b in range(max(owned) + 1))), F.col("grp") + 1)
-    mine = ratings.filter(F.col("block") == block_of)
+class Cells:
+    """Ratings written by (part, block), each cell a folder that is read on its own."""
+
+    SCHEMA = "row long, col long, value double, part int, block int"
+
+    def __init__(self, t: DataFrame, parts: int, blocks: int):
+        group = lambda key, n: F.pmod(F.col(key), F.lit(n)).cast("int")
+        rows = t.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value"), group("row", parts).alias("part"), group("col", blocks).alias("block"))
+        self.spark, self.path = t.sparkSession, scratch(t.sparkSession)
+        rows.repartition("part", "block").write.partitionBy("part", "block").parquet(self.path)
+        whole = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        counts = whole.groupBy("part", "block").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per cell of the schedule
+        self.held = {(r["part"], r["block"]): r["n"] for r in counts}
+        self.n, self.whole = sum(self.held.values()), whole
+
+    def of(self, owned: list[int | None]) -> DataFrame:
+        """The ratings of one sub-epoch."""
+        folders = [f"{self.path}/part={p}/block={b}" for p, b in enumerate(owned) if (p, b) in self.held]
+        if not folders:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).option("basePath", self.path).parquet(*folders)
+
+
+def sub_epoch(mine: DataFrame, factors: DataFrame, owned: list[int | None], step: float, lam: float, reverse: bool = False, biased: bool = False, mean: float = 0.0) -> DataFrame:
+    """mine: ratings (row, col, value, part, block) of the owned blocks, factors (kind, id, grp, vec): one stratum."""
+    owner = {b: p for p, b in enumerate(owned) if b is not None}
+    part_of = F.try_element_at(F.array(*(F.lit(owner.get(b, -1 - b)) for b in range(max(owner, default=0) + 1))), F.col("grp") + 1)
     tagged = factors.withColumn("part", F.when(F.col("kind") == "row", F.col("grp")).otherwise(F.coalesce(part_of, -1 - F.col("grp"))))
     return mine.groupBy("part").cogroup(tagged.groupBy("part")).applyInPandas(_fold(step, lam, reverse, biased, mean), SCHEMA)
 
 
+class Round(NamedTuple):
+    """What is known after an epoch; `test_rmse` is null without a test table."""
+
+    epoch: int
+    step: float
+    loss: float
+    rmse: float
+    test_rmse: float | None
+
+
 def train(t: DataFrame, factors: DataFrame, parts: int, epochs: int, lrate: float, drate: float = 0.0, lam: float = 0.05, strategy: str = "cyclic", seed: int = 12345, reverse: bool = False,
-          bold: tuple[float, float] | None = None, biased: bool = False, mean: float = 0.0, halves: int = 1, reuse: int = 1, folder: str | None = None, interval: int = 1, resume: int | None = None):
-    """(factors, log): factors (kind, id, vec) start the training; log has (epoch, step, objective) rows.
+          bold: tuple[float, float] | None = None, biased: bool = False, mean: float = 0.0, halves: int = 1, reuse: int = 1, folder: str | None = None, interval: int = 1, resume: int | None = None,
+          test: DataFrame | None = None, min_error: float | None = None, stop_rmse: float | None = None, settled: int = SETTLED, protocol: str = "sync"):
+    """(factors, log): factors (kind, id, vec) start the training; log has a `Round` for each epoch.
 
     The step of epoch c is 1.5 lrate / (1 + drate c^1.5): each (part, column) pair is met once an epoch, so
     visits count epochs (`reuse` times each).  `bold` = (decay, growth) replaces that by the bold driver on
-    the objective.  With `folder`, every `interval`-th epoch is saved; `resume` starts after a saved one.
+    the objective.  `strategy` is one of `STRATEGIES`, or "least": parts - 1 workers that take the least
+    visited free blocks.  With `folder`, every `interval`-th epoch is saved by `protocol`; `resume` starts
+    after a saved one.  `test` (row, col, value) is scored after each epoch.  Training ends early once the
+    training RMSE changes by at most `min_error`, or is at most `stop_rmse` after `settled` epochs.
     """
     spark = t.sparkSession
     blocks = parts * halves
-    ratings = cut(t.select("row", "col", "value", F.pmod(F.col("row"), F.lit(parts)).cast("int").alias("part"), F.pmod(F.col("col"), F.lit(blocks)).cast("int").alias("block")).repartition(parts, "part"))
+    if strategy != "least":
+        strata(parts, 1, strategy, seed)  # an unknown one ends here
+    elif halves != 1:
+        raise ValueError("the scheduler takes whole blocks")
+    cells = Cells(t, parts, blocks)
     group = F.when(F.col("kind") == "row", F.pmod(F.col("id"), F.lit(parts))).otherwise(F.pmod(F.col("id"), F.lit(blocks))).cast("int")
-    now = load(spark, folder, resume) if resume is not None else factors.withColumn("grp", group).select("kind", F.col("id").cast("long").alias("id"), "grp", "vec")
-    now, log, rate, before = cut(now), [], lrate, None
-    for epoch in range((resume or 0) + 1, epochs + 1):
+    now = load(spark, folder, resume) if resume is not None else factors
+    now = cut(now.withColumn("grp", group).select("kind", F.col("id").cast("long").alias("id"), "grp", "vec"))
+    log: list[Round] = []
+    rate, before, rmse = lrate, None, math.inf
+    chosen = least_visited(parts, max(1, parts - 1), epochs, seed) if strategy == "least" else (strata(parts, e, strategy, seed) for e in range(1, epochs + 1))
+    for epoch, subs in enumerate(chosen, 1):
+        if epoch <= (resume or 0):
+            continue
         for again in range(reuse):
             step = rate if bold else 1.5 * lrate / (1 + drate * ((epoch - 1) * reuse + again + 1) ** 1.5)
-            for owned in strata(parts, epoch, strategy, seed):
+            for owned in subs:
                 for half in range(halves):
-                    now = cut(sub_epoch(ratings, now, [b * halves + half for b in owned], step, lam, reverse, biased, mean))
-        loss = loss_of(ratings, now, biased, mean)
-        log.append((epoch, step, loss))
+                    mine = [None if b is None else b * halves + half for b in owned]
+                    old, now = now, cut(sub_epoch(cells.of(mine), now, mine, step, lam, reverse, biased, mean))
+                    forget(old)
+        loss = loss_of(cells.whole, now, biased, mean)[0]
+        held = loss_of(test, now, biased, mean) if test is not None else None
+        last, rmse = rmse, math.sqrt(loss / max(1, cells.n))
+        log.append(Round(epoch, step, loss, rmse, math.sqrt(held[0] / held[1]) if held and held[1] else None))
         if bold and before is not None:
             rate *= bold[0] if loss > before else bold[1]
         before = loss
         if folder and epoch % interval == 0:
-            save(now, folder, epoch)
+            save(now.drop("grp"), folder, epoch, protocol)
+        if (min_error is not None and abs(rmse - last) <= min_error) or (stop_rmse is not None and epoch >= settled and rmse <= stop_rmse):
+            break
     return now.drop("grp"), log
 
 
-def loss_of(ratings: DataFrame, factors: DataFrame, biased: bool = False, mean: float = 0.0) -> float:
-    from ..functions import dot
-
+def loss_of(ratings: DataFrame, factors: DataFrame, biased: bool = False, mean: float = 0.0) -> tuple[float, int]:
+    """(sum of squared errors, number) of the ratings whose row and column have factors."""
     side = lambda kind: factors.filter(F.col("kind") == kind)
     r = side("row").select(F.col("id").alias("row"), F.col("vec").alias("w"))
     c = side("col").select(F.col("id").alias("col"), F.col("vec").alias("h"))
-    s = ratings.join(c, "col").join(r, "row")
+    s = ratings.select("row", "col", "value").join(c, "col").join(r, "row")
     if biased:
         k = F.size("w") - 1
         p = dot(F.slice("w", 1, k), F.slice("h", 1, k)) + mean + F.element_at("w", -1) + F.element_at("h", -1)
     else:
         p = dot(F.col("w"), F.col("h"))
     e = p - F.col("value")
-    return s.agg(F.sum(e * e)).first()[0] or 0.0
+    total, n = s.agg(F.sum(e * e), F.count(F.lit(1))).first()
+    return total or 0.0, n
 
 
 def bold_rates(log: DataFrame, start: float, decay: float = 0.5, growth: float = 1.05) -> DataFrame:

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dot, power_law
+from ..functions import dot, md5_unit, power_law
 from .checkpoint import cut
 from .matrix import offsets
 
 
+#: Draws of a number that has to lie in a range.
+TURNS = 64
+
+
 def unit(seed: int, *keys: Column) -> Column:
-    """A number in (0, 1) that depends on the seed and keys only, not on partitions or retries."""
+    """A number in (0, 1) that depends on the seed and keys only, not on partitions or retries.
+
+    `md5_unit` has the same property and is used for degrees, which are few: any SQL engine can follow it.
+    """
     return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
@@ -20,15 +27,23 @@ def normal(seed: int, *keys: Column) -> Column:
 
 
 def row_degree_frequencies(spark: SparkSession, ncols: int, seed: int = 12345) -> DataFrame:
-    """(degree, freq), degree 0..ncols: freq is N(20, 5) cut to whole numbers in [0, ncols)."""
-    freq = F.greatest(F.lit(0), F.least(F.lit(max(0, ncols - 1)), (20 + 5 * normal(seed, F.col("id"))).cast("long")))
-    return spark.range(ncols + 1).select(F.col("id").alias("degree"), freq.alias("freq"))
+    """(degree, freq), degree 0..ncols: freq is a whole number of N(20, 5), drawn again until it is in [0, ncols)."""
+    u = lambda which, turn: md5_unit(F.lit(str(seed)), F.lit(which), F.col("id").cast("string"), turn.cast("string"))
+    draw = lambda turn: (20 + 5 * F.sqrt(-2 * F.ln(1 - u("a", turn))) * F.cos(2 * 3.141592653589793 * u("b", turn))).cast("long")
+    return _drawn(spark, ncols, draw, lambda x: (x >= 0) & (x < ncols), 20)
+
+
+def _drawn(spark: SparkSession, top: int, draw, fits, default: int) -> DataFrame:
+    """(degree, freq) for 0..top: the first of `TURNS` draws that fits, else the allowed number next to `default`."""
+    some = F.filter(F.transform(F.sequence(F.lit(0), F.lit(TURNS - 1)), draw), fits)
+    freq = F.coalesce(F.try_element_at(some, F.lit(1)), F.lit(max(0, min(default, top - 1))).cast("long"))
+    return spark.range(top + 1).select(F.col("id").alias("degree"), freq.alias("freq"))
 
 
 def col_degree_frequencies(spark: SparkSession, nrows: int, seed: int = 12345) -> DataFrame:
-    """(degree, freq), degree 0..nrows: freq follows the power law (1, 2.2), at most nrows."""
-    freq = F.least(F.lit(nrows), power_law(unit(seed, F.col("id")), 1.0, 2.2).cast("long"))
-    return spark.range(nrows + 1).select(F.col("id").alias("degree"), freq.alias("freq"))
+    """(degree, freq), degree 0..nrows: freq is a whole number of the power law (1, 2.2), drawn again until it is at most nrows."""
+    draw = lambda turn: power_law(md5_unit(F.lit(str(seed)), F.lit("c"), F.col("id").cast("string"), turn.cast("string")), 1.0, 2.2).cast("long")
+    return _drawn(spark, nrows, draw, lambda x: x <= nrows, 1)
 
 
 def sample_degrees(freq: DataFrame, n: int, seed: int, width: int = 1024) -> DataFrame:
@@ -41,7 +56,7 @@ def sample_degrees(freq: DataFrame, n: int, seed: int, width: int = 1024) -> Dat
     if not total:
         return freq.sparkSession.range(n).select("id", F.lit(0).cast("long").alias("degree"))
     spans = cum.select("degree", "freq", "offset", F.explode(F.sequence(F.floor(F.col("offset") / width), F.floor((F.col("offset") + F.col("freq") - 1) / width))).alias("b"))
-    draws = freq.sparkSession.range(n).withColumn("x", F.floor(unit(seed, F.col("id")) * total)).withColumn("b", F.floor(F.col("x") / width))
+    draws = freq.sparkSession.range(n).withColumn("x", F.floor(md5_unit(F.lit(str(seed)), F.col("id").cast("string")) * total)).withColumn("b", F.floor(F.col("x") / width))
     hit = (F.col("x") >= F.col("offset")) & (F.col("x") < F.col("offset") + F.col("freq"))
     return draws.join(spans, "b").filter(hit).select("id", "degree")
 
@@ -93,17 +108,30 @@ def sample_cells(rows: DataFrame, popularity: DataFrame, seed: int) -> DataFrame
     return out
 
 
+def row_sizes(spark: SparkSession, nrows: int, ncols: int, seed: int = 12345) -> DataFrame:
+    """(row, degree, train, test): the drawn degree of each row and the cells that it gets."""
+    drawn = sample_degrees(row_degree_frequencies(spark, ncols, seed), nrows, seed + 1).select(F.col("id").alias("row"), "degree")
+    cells = F.least(F.floor(F.col("degree") * 5 / 4), F.lit(ncols))
+    return drawn.withColumn("train", F.floor(cells * 0.8)).withColumn("test", cells - F.floor(cells * 0.8))
+
+
+def product(dim: int, seed: int = 12345) -> Column:
+    """<w, h> of a cell's row and column, whose factors are N(0, 1)."""
+    vec = lambda key, s: F.array(*(normal(s, F.col(key), F.lit(t)) for t in range(dim)))
+    return dot(vec("row", seed + 5), vec("col", seed + 6))
+
+
 def generate(spark: SparkSession, nrows: int, ncols: int, dim: int = 20, seed: int = 12345, noise: float = 0.1) -> DataFrame:
     """(row, col, value, test): training and test cells drawn independently, values <w, h> + noise N(0, 1).
 
-    A row of degree d has floor(0.8 d) training cells and d div 5 more of the other kind; a cell may be in both.
+    A row of drawn degree d has m = min(5 d div 4, ncols) cells, of these floor(0.8 m) for training and the
+    rest for the test; a cell may be in both.
     """
-    degree = sample_degrees(row_degree_frequencies(spark, ncols, seed), nrows, seed + 1).select(F.col("id").alias("row"), F.least(F.col("degree"), F.lit(ncols)).alias("degree"))
+    degree = row_sizes(spark, nrows, ncols, seed)
     popular = sample_degrees(col_degree_frequencies(spark, nrows, seed), ncols, seed + 2).select(F.col("id").alias("col"), (F.col("degree") + 1).alias("weight"))
     parts = []
-    for test, d in ((False, F.floor(F.col("degree") * 0.8)), (True, F.floor(F.col("degree") / 5))):
-        parts.append(sample_cells(degree.withColumn("degree", d), popular, seed + 3 + test).withColumn("test", F.lit(test)))
+    for test, d in ((False, "train"), (True, "test")):
+        parts.append(sample_cells(degree.select("row", F.col(d).alias("degree")), popular, seed + 3 + test).withColumn("test", F.lit(test)))
     cells = parts[0].unionByName(parts[1])
-    vec = lambda key, s: F.array(*(normal(s, F.col(key), F.lit(t)) for t in range(dim)))
-    value = dot(vec("row", seed + 5), vec("col", seed + 6)) + noise * normal(seed + 7, F.col("row"), F.col("col"), F.col("test"))
+    value = product(dim, seed) + noise * normal(seed + 7, F.col("row"), F.col("col"), F.col("test"))
     return cells.withColumn("value", value).select("row", "col", "value", "test")

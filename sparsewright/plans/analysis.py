@@ -55,7 +55,7 @@ _INFO = _AT + f""", info AS (SELECT pt.ds, pt.nw, pt.ci, pt.ctype, pt.time, pt.r
 def _at(spark, sf, *by):
     log = X.run_log(spark, sf)
     th = L.ending_rmse(log, *by)
-    return L.at_threshold(log.join(F.broadcast(th), list(by)) if by else log.join(F.broadcast(th)))
+    return L.at_threshold(log.join(th, list(by)) if by else log.join(F.broadcast(th)))  # without keys it is one row
 
 
 def _info(spark, sf):
@@ -160,15 +160,21 @@ def _(spark, sf):
     return X.table(spark, sf, "events").groupBy("event_type").agg(r6(F.avg("value"), "mean"), r6(F.stddev_pop("value"), "std"))
 
 
-_SCALE = W + _CMP + " SELECT ds, nw, ci, round(first_value(t_vs) OVER w * first_value(nw) OVER w / nw, 6) AS ideal, round(CASE WHEN t_vs <> 0 THEN first_value(t_vs) OVER w / t_vs * first_value(nw) OVER w END, 6) AS speedup FROM cmp WINDOW w AS (PARTITION BY ds, ci ORDER BY nw)"
+_SCALE = W.replace("{", "{{").replace("}", "}}") + _CMP + " SELECT ds, nw, ci, round(first_value(t_{k}) OVER w * first_value(nw) OVER w / nw, 6) AS ideal, round(CASE WHEN t_{k} <> 0 THEN first_value(t_{k}) OVER w / t_{k} * first_value(nw) OVER w END, 6) AS speedup FROM cmp WINDOW w AS (PARTITION BY ds, ci ORDER BY nw)"
 
 
-@query("w8_scale_out", _SCALE)
-@query("x6_scaling", _SCALE)
+@query("w8_scale_out", _SCALE.format(k="vs"))
 def _(spark, sf):
     return L.scaling(_cmp(spark, sf), "t_vs").select("ds", "nw", "ci", r6("ideal", "ideal"), r6("speedup", "speedup"))
 
 
+@query("x6_scaling", " UNION ALL ".join(f"(SELECT '{k}' AS kind, * FROM ({_SCALE.format(k=k)}))" for k in L.KINDS))
+def _(spark, sf):
+    """The curves of all four kinds of run."""
+    curves = [L.scaling(_cmp(spark, sf), f"t_{k}").select(F.lit(k).alias("kind"), "ds", "nw", "ci", r6("ideal", "ideal"), r6("speedup", "speedup")) for k in L.KINDS]
+    return curves[0].unionByName(curves[1]).unionByName(curves[2]).unionByName(curves[3])
+
+
 @query("x6_scaling_fit", W + _CMP + " SELECT round(regr_slope(ln(t_none), ln(nw)), 6) AS a, round(regr_intercept(ln(t_none), ln(nw)), 6) AS b FROM cmp WHERE t_none > 0")
 def _(spark, sf):
     x, y = F.ln("nw"), F.ln("t_none")
@@ -198,9 +204,10 @@ def _(spark, sf):
     return p.join(s, "k").select("x", r6(S.recovery_time(3.0, 50.0, 2.0, 0.2, 4.0, F.col("x")), "model"), "measured")
 
 
-@query("x9_error_bars")
+@query("x9_error_bars", W + _CMP + " SELECT ds, nw, ci, " + ", ".join(f"round(('0x' || substr(md5('{k}:' || ds || ':' || nw || ':' || ci), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * 0.1::DOUBLE * t_{k}, 6) AS e_{k}" for k in L.KINDS) + " FROM cmp")
 def _(spark, sf):
-    return _cmp(spark, sf).select("ds", "nw", "ci", *((F.rand(k) * 0.1 * F.col(f"t_{n}")).alias(f"e_{n}") for k, n in enumerate(L.KINDS)))
+    draw = lambda k: S.md5_unit(F.lit(k), F.col("ds"), F.col("nw").cast("string"), F.col("ci").cast("string"))
+    return _cmp(spark, sf).select("ds", "nw", "ci", *(r6(draw(k) * 0.1 * F.col(f"t_{k}"), f"e_{k}") for k in L.KINDS))
 
 
 @query("x10_datasets", W + " SELECT ds, count(*) AS n, min(time) AS first, max(time) AS last FROM rl GROUP BY ds")
@@ -238,10 +245,23 @@ def _(spark, sf):
     return L.parse_checkpoints(_lines(spark, sf))
 
 
-@query("s16_statistics_block", "SELECT event_type, printf('%s: updates %d, failures %d, rmse %.6f', event_type, count(*), sum(CASE WHEN value < 10 THEN 1 ELSE 0 END)::BIGINT, sqrt(avg(value))) AS line FROM events GROUP BY 1")
+_STATS = "count(*) AS u, sum(CASE WHEN value < 10 THEN 1 ELSE 0 END)::BIGINT AS f, sum(value) AS sse, max(event_id)::DOUBLE AS t"
+
+
+@query("s16_statistics_block", f"""WITH g AS (SELECT event_type, {_STATS} FROM events GROUP BY 1)
+    SELECT event_type, 'Statistics:' || chr(10) || repeat('=', 53) || chr(10) || printf('elapsed time: %.2f total training time: %.2f total testing time: %.2f current training RMSE: %.6f', t, t, t / 4, sqrt(sse / u)) || chr(10)
+      || printf('current test RMSE: %.6f', sqrt(sse / 2 / u)) || chr(10) || printf('detail: train: s=%.2f, c=%d; test: s=%.2f, c=%d; u=%d, f=%d, s=%d', sse, u, sse / 2, u, u, f, u + f) || chr(10)
+      || CASE WHEN f > 0 THEN printf('Number of checkpoints: %d Total time by master: %.2f by worker: %.2f each one: %.2f', f, t / 2, t, t / 2 / f) || chr(10)
+         || printf('Total checkpoint writing time: %.2f each one: %.2f average on worker: %.2f', t / 8, t / 8 / f, t / 8 / f / 4) || chr(10) ELSE '' END || repeat('=', 53) AS block FROM g""")
 def _(spark, sf):
-    g = X.table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("u"), F.sum(F.when(F.col("value") < 10, 1).otherwise(0)).alias("f"), F.sqrt(F.avg("value")).alias("r"))
-    return g.select("event_type", F.format_string("%s: updates %d, failures %d, rmse %.6f", "event_type", "u", "f", "r").alias("line"))
+    e = X.table(spark, sf, "events")
+    g = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("u"), F.sum(F.when(F.col("value") < 10, 1).otherwise(0)).cast("long").alias("f"), F.sum("value").alias("sse"), F.max("event_id").cast("double").alias("t"))
+    stats = g.select(
+        "event_type", F.col("t").alias("elapsed"), F.col("t").alias("train_time"), (F.col("t") / 4).alias("test_time"), F.col("sse").alias("train_sse"), F.col("u").alias("train_n"),
+        (F.col("sse") / 2).alias("test_sse"), F.col("u").alias("test_n"), F.col("u").alias("updates"), F.col("f").alias("failures"), (F.col("u") + F.col("f")).alias("sends"),
+        F.col("f").alias("checkpoints"), (F.col("t") / 2).alias("cp_master"), F.col("t").alias("cp_workers"), (F.col("t") / 8).alias("cp_write"), F.lit(4).alias("workers"),
+    )
+    return L.statistics_block(stats, 6, 2).select("event_type", "block")
 
 
 @query("t14_termination", W + _DIFF + f" SELECT {RUN}, time, coalesce(abs(diff) <= 0.01, false) OR (rmse <= 1.2 AND update >= 20000) AS stop FROM d")

@@ -147,9 +147,12 @@ def _(spark, sf):
     return M.block_ids(X.ratings(spark, sf), 64, 64).select("block_row", "block_col", "row", "col", place.cast("long").alias("place"))
 
 
-@query("p22_redistribute", W + X.RATINGS + ' SELECT r AS "row", c AS col, v AS value FROM m')
+@query("p22_redistribute", W + X.RATINGS + " SELECT c AS col, count(*) AS n, sum(v) AS total, 1::BIGINT AS parts FROM m GROUP BY c")
 def _(spark, sf):
-    return X.ratings(spark, sf).repartition("col")
+    """Every column's entries lie in one partition afterwards."""
+    t = X.ratings(spark, sf).repartition("col").withColumn("part", F.spark_partition_id())
+    own = t.groupBy("col", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return own.groupBy("col").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("parts"))
 
 
 @query("p23_validation_range", W + X.RAW + ", a AS (SELECT max(r) AS r, max(c) AS c FROM raw WHERE NOT test), b AS (SELECT max(r) AS r, max(c) AS c FROM raw WHERE test) SELECT b.r <= a.r AND b.c <= a.c AS inside FROM a, b")
@@ -176,9 +179,9 @@ def _(spark, sf):
     return X.raw(spark, sf).groupBy("test").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-@query("p26_column_major", W + X.TINY + ' SELECT row_number() OVER (ORDER BY c, r) AS place, r AS "row", c AS col, v AS value FROM m')
+@query("p26_column_major", W + X.RATINGS + ' SELECT row_number() OVER (ORDER BY c, r) AS place, r AS "row", c AS col, v AS value FROM m')
 def _(spark, sf):
-    return X.tiny(spark, sf).select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("col", "row")).cast("long").alias("place"), "row", "col", "value")
+    return M.numbered(X.ratings(spark, sf), "col", "row").select((F.col("idx") + 1).alias("place"), "row", "col", "value")
 
 
 @query("o1_multi_key_sort", "SELECT row_number() OVER (ORDER BY p_size, p_brand, p_partkey) AS place, p_partkey FROM part")

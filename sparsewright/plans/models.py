@@ -254,29 +254,19 @@ def _(spark, sf):
     return X.row_factors(X.ratings(spark, sf)).select("row", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
-@query("t15_shuffle_and_back", W + X.RATINGS + ' SELECT r AS "row", c AS col, v AS value FROM m')
-def _(spark, sf):
-    t = X.ratings(spark, sf)
-    p, q = M.id_map(t.select("row"), shuffled=True), M.id_map(t.select("col"), shuffled=True)
-    back = lambda d: d.select(F.col("idx").alias("id"), F.col("id").alias("idx"))
-    return M.permute(M.permute(t, p, q), back(p), back(q))
-
-
-@query("s22_view", W + X.RATINGS + " SELECT max(r) + 1 AS nrows, max(c) + 1 AS ncols, count(*) AS nnz, round(avg(v), 6) AS mean FROM m")
-def _(spark, sf):
-    return M.dimensions(X.ratings(spark, sf)).withColumn("mean", F.round("mean", 6))
+_SHUFFLED = ", pr AS (SELECT r, row_number() OVER (ORDER BY md5(r::VARCHAR), r) - 1 AS i FROM (SELECT DISTINCT r FROM m)), pc AS (SELECT c, row_number() OVER (ORDER BY md5(c::VARCHAR), c) - 1 AS j FROM (SELECT DISTINCT c FROM m))"
 
 
-@query("extension_top_items", W + X.TRAIN + ", " + X.given() + f', p AS (SELECT r, c, round({DOT}, 6) AS p FROM w, h WHERE r < 20), k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY p DESC, c) AS n FROM p) SELECT r AS "row", c AS col, p AS pred, n AS place FROM k WHERE n <= 5')
+@query("t15_shuffle_and_back", W + X.RATINGS + _SHUFFLED + ' SELECT r AS "row", c AS col, v AS value, i AS shuffled_row, j AS shuffled_col FROM m JOIN pr USING (r) JOIN pc USING (c)')
 def _(spark, sf):
-    """An extension, not in the original feature set: the best items of the first twenty rows, by blocks of columns."""
-    t = X.ratings(spark, sf, False)
-    rows, cols = _model(t)
-    some = rows.filter("row < 20").agg(F.collect_list(F.struct("row", "vec")).alias("some"))  # twenty rows, broadcast
-    pred = F.round(S.dot(F.col("r.vec"), F.col("vec")), 6)
-    each = cols.join(F.broadcast(some)).select("col", "vec", F.explode("some").alias("r")).select(F.col("r.row").alias("row"), "col", pred.alias("pred"))
-    part = Window.partitionBy("row").orderBy(F.col("pred").desc(), "col")
-    return each.withColumn("place", F.row_number().over(part).cast("long")).filter("place <= 5")
+    """The cells under their shuffled ids, and what these are renamed back to."""
+    t = X.ratings(spark, sf)
+    p, q = M.id_map(t.select("row"), shuffled=True), M.id_map(t.select("col"), shuffled=True)
+    shuffled = M.permute(t, p, q)
+    kept = shuffled.select("row", "col", "value", F.col("row").alias("shuffled_row"), F.col("col").alias("shuffled_col"))
+    for key, ids in (("row", p), ("col", q)):
+        kept = kept.join(ids.select(F.col("idx").alias(key), F.col("id").alias("__old")), key).withColumn(key, F.col("__old")).drop("__old")
+    return kept.select("row", "col", "value", "shuffled_row", "shuffled_col")
 
 
 TOP, ROW_BLOCK, COL_BLOCK = 5, 512, 4096
@@ -296,9 +286,9 @@ def _blocks(side, key, size, ids, vecs):
     return packed.select(F.col(f"s.{key}").alias(ids), F.flatten("s.vec").alias(vecs))
 
 
-@query("extension_top_items_all", W + X.TRAIN + ", " + X.given() + f', p AS (SELECT r, c, round({DOT}, 6) AS p FROM w, h), k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY p DESC, c) AS n FROM p) SELECT r AS "row", c AS col, p AS pred, n AS place FROM k WHERE n <= 5')
+@query("extension_top_items", W + X.TRAIN + ", " + X.given() + f', p AS (SELECT r, c, round({DOT}, 6) AS p FROM w, h), k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY p DESC, c) AS n FROM p) SELECT r AS "row", c AS col, p AS pred, n AS place FROM k WHERE n <= 5')
 def _(spark, sf):
-    """The best items of every row, by blocks of rows and columns; extension_top_items has the first twenty rows."""
+    """An extension, not in the original feature set: the best items of every row, by blocks of rows and columns."""
     rows, cols = _model(X.ratings(spark, sf, False))
     pairs = _blocks(rows, "row", ROW_BLOCK, "rows", "w").crossJoin(_blocks(cols, "col", COL_BLOCK, "cols", "h"))
     each = pairs.repartition("rows", "cols").mapInPandas(_best, "row long, col long, pred double")

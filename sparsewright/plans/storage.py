@@ -11,8 +11,9 @@ from .. import functions as S
 from ..operators import matrix as M
 from ..operators import metrics as E
 from ..operators import synth as Y
-from ..operators.checkpoint import shared_folder
+from ..operators.checkpoint import scratch, shared_folder
 from ..sources import binary as B
+from ..sources import model as D
 from ..sources import text as T
 from . import fixtures as X
 from .catalogue import query
@@ -36,17 +37,44 @@ def _written(spark, sf, long):
 
 
 @query("s1_binary_read", _ALL)
-@query("s12_long_format_parts", _ALL)
 def _(spark, sf):
     return B.read(spark, _written(spark, sf, True), 5)
 
 
+@query("s12_long_format_parts", W + X.RATINGS + ", t AS (SELECT max(r) + 1 AS n FROM m) SELECT CAST(1015 AS INTEGER) AS file_id, (SELECT n FROM t) AS nrows, count(*) AS nnz, 20 + 4 * (SELECT n FROM t) + 12 * count(*) AS bytes, sum(v) AS total FROM m")
+def _(spark, sf):
+    """The long format's header, size and values after many tasks wrote their parts."""
+    path = _written(spark, sf, True)
+    with open(path, "rb") as f:
+        kind = int.from_bytes(f.read(4), "little")
+    rows, _, nnz = B.probe(path)
+    total = B.read(spark, path, 3).agg(F.sum("value")).first()[0]
+    return spark.createDataFrame([(kind, rows, nnz, os.path.getsize(path), total)], "file_id int, nrows long, nnz long, bytes long, total double")
+
+
 @query("s10_binary_write", _ALL)
-@query("s8_binary_any_store", _ALL)
 def _(spark, sf):
     return B.read_any(spark, "file://" + _written(spark, sf, False))
 
 
+@query("s8_data_round_trip", W + X.RATINGS + ' SELECT r AS "row", c AS col, v AS value FROM m')
+def _(spark, sf):
+    D.save_data(X.ratings(spark, sf), folder := scratch(spark))
+    return D.load_data(spark, folder)
+
+
+@query("s22_view_data", W + X.RATINGS + " SELECT unnest(['type', 'nrows', 'ncols', 'nnz']) AS name, unnest(['data', (max(r) + 1)::VARCHAR, (max(c) + 1)::VARCHAR, count(*)::VARCHAR]) AS value FROM m")
+def _(spark, sf):
+    D.save_data(X.ratings(spark, sf), folder := scratch(spark))
+    return D.view(spark, folder).filter("name <> 'mean'")
+
+
+@query("s22_view_model", "SELECT unnest(['type', 'dim', 'epochs', 'lam_row', 'lam_col', 'lrate', 'biased', 'renamed']) AS name, unnest(['model', '4', '3', '0.05', '0.1', '0.01', 'True', 'False']) AS value")
+def _(spark, sf):
+    D.save_model(_model(spark, sf), folder := scratch(spark))
+    return D.view(spark, folder).filter("name <> 'mean'")
+
+
 @query("s4_row_slice_read", W + X.RATINGS + ' SELECT CAST(r // 10 AS BIGINT) AS slice, count(*) AS n, sum(v) AS total FROM m GROUP BY 1')
 def _(spark, sf):
     return B.read(spark, _written(spark, sf, True), 4).groupBy(F.floor(F.col("row") / 10).alias("slice")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
@@ -94,13 +122,26 @@ def _(spark, sf):
     return M.dimensions(T.zero_based(_lines(spark, sf, 0, " "))).withColumn("mean", F.round("mean", 6))
 
 
-@query("s9_model_round_trip", W + X.RATINGS + ", " + X.given() + " SELECT 'row' AS kind, r AS id, list_transform(w, lambda x: round(x, 6)) AS vec FROM w UNION ALL SELECT 'col', c, list_transform(h, lambda x: round(x, 6)) FROM h")
+def _model(spark, sf, renamed=False):
+    """The given factors with their last place as bias; ids as they are, or renamed."""
+    t = X.ratings(spark, sf)
+    factors = X.row_factors(t).select(F.lit("row").alias("kind"), F.col("row").alias("id"), "vec").unionByName(X.col_factors(t).select(F.lit("col").alias("kind"), F.col("col").alias("id"), "vec"))
+    ids = {}
+    if renamed:
+        ids = {"row_ids": M.id_map(t.select("row"), shuffled=True), "col_ids": M.id_map(t.select("col"), shuffled=True)}
+        new = ids["row_ids"].withColumn("kind", F.lit("row")).unionByName(ids["col_ids"].withColumn("kind", F.lit("col")))
+        factors = factors.join(new, ["kind", "id"]).select("kind", F.col("idx").alias("id"), "vec")
+    return D.from_factors(factors, True, **ids, dim=4, epochs=3, lam_row=0.05, lam_col=0.1, lrate=0.01, mean=2.5)
+
+
+_BIASED = X.DOT.format(a="w[1:3]", b="h[1:3]")
+
+
+@query("s9_model_round_trip", W + X.RATINGS + ", " + X.given() + f" SELECT r AS \"row\", c AS col, round({_BIASED} + 2.5 + w[4] + h[4], 6) AS pred FROM m JOIN w USING (r) JOIN h USING (c)")
 def _(spark, sf):
-    t, folder = X.ratings(spark, sf), f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
-    X.row_factors(t).write.parquet(f"{folder}/row_factors")
-    X.col_factors(t).write.parquet(f"{folder}/col_factors")
-    read = lambda k: spark.read.parquet(f"{folder}/{k}_factors").select(F.lit(k).alias("kind"), F.col(k).alias("id"), F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
-    return read("row").unionByName(read("col"))
+    """Predictions of a reloaded model: factors, biases, mean and id maps."""
+    D.save_model(_model(spark, sf, renamed=True), folder := scratch(spark))
+    return D.predict(D.load_model(spark, folder), X.ratings(spark, sf)).select("row", "col", F.round("pred", 6).alias("pred"))
 
 
 @query("s11_id_map", "SELECT c_name AS id, row_number() OVER (ORDER BY c_name) - 1 AS idx FROM customer")

@@ -3,8 +3,8 @@
 Little-endian: int32 file id (1211216 regular, 1015 long); int32 rows, int32 columns; nnz as int32 (regular)
 or int64 (long); int32 entries per row; int32 column of every entry, row by row; float64 values.
 
-A read splits the rows into ranges of about equal size; each task reads its ranges' counts, columns and
-values by offset, nothing else.  A write lays the file out first (counts per row are known to the driver by
+A read splits the rows into ranges of about equal size; the counts before each range are summed once, where
+the ranges are made, and each task reads its range's counts, columns and values by offset, nothing else.  A write lays the file out first (counts per row are known to the driver by
 an aggregate of one row per part), then every task writes its own rows at their offsets: no single writer.
 Paths are those of a file system that all executors mount; `read_any` reads files of any store that Spark
 reads, each as a whole.
@@ -48,9 +48,11 @@ def probe(path: str) -> tuple[int, int, int]:
 
 
 class Rows(InputPartition):
-    def __init__(self, first: int, last: int):
+    """A range of rows, the entries before it and those in it."""
+
+    def __init__(self, first: int, last: int, before: int, held: int):
         super().__init__((first, last))
-        self.first, self.last = first, last
+        self.first, self.last, self.before, self.held = first, last, before, held
 
 
 class MatrixReader(DataSourceReader):
@@ -59,18 +61,24 @@ class MatrixReader(DataSourceReader):
         self.parts = int(options.get("parts", 8))
 
     def partitions(self) -> list[Rows]:
-        rows = probe(self.path)[0]
-        step = max(1, -(-rows // max(1, self.parts)))
-        return [Rows(a, min(a + step, rows)) for a in range(0, rows, step)] or [Rows(0, 0)]
+        """The counts are read here once, a piece at a time; a task gets the sum of those before it."""
+        with open(self.path, "rb") as f:
+            rows, _, _, at = header(f.read(20))
+        step, before, out = max(1, -(-rows // max(1, self.parts))), 0, []
+        for a in range(0, rows, step):
+            z = min(a + step, rows)
+            held = sum(int(np.fromfile(self.path, "<i4", min(1 << 20, z - k), offset=at + 4 * k).sum(dtype=np.int64)) for k in range(a, z, 1 << 20))
+            out.append(Rows(a, z, before, held))
+            before += held
+        return out or [Rows(0, 0, 0, 0)]
 
     def read(self, part: Rows) -> Iterator:
         import pyarrow as pa
 
         with open(self.path, "rb") as f:
             rows, _, nnz, at = header(f.read(20))
-            counts = np.fromfile(self.path, "<i4", rows, offset=at).astype(np.int64)
-            before, mine = int(counts[: part.first].sum()), counts[part.first : part.last]
-            n, base = int(mine.sum()), at + 4 * rows
+        mine = np.fromfile(self.path, "<i4", part.last - part.first, offset=at + 4 * part.first)
+        n, before, base = part.held, part.before, at + 4 * rows
         cols = np.fromfile(self.path, "<i4", n, offset=base + 4 * before)
         values = np.fromfile(self.path, "<f8", n, offset=base + 4 * nnz + 8 * before)
         row = np.repeat(np.arange(part.first, part.last, dtype=np.int32), mine)

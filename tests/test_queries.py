@@ -6,11 +6,13 @@ from oracle import SF, compare
 from sparsewright.plans import catalogue
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
+#: Queries with no row on the smallest tables.
+EMPTY = {"j6_ids_without_entries"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, name):
-    compare(spark, QUERIES[name], SQL[name])
+    assert compare(spark, QUERIES[name], SQL[name]) > 0 or name in EMPTY
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from oracle import compare
@@ -6,7 +8,9 @@ from pyspark.sql import functions as F
 from sparsewright.functions import bandwidth, power_law, size_number
 from sparsewright.operators import ccd, runlog, sgd, synth
 from sparsewright.operators import matrix as M
-from sparsewright.sources import binary
+from sparsewright.operators.checkpoint import shared_folder
+from sparsewright.plans import fixtures
+from sparsewright.sources import binary, model
 
 
 def _low_rank(spark, rows=40, cols=25, k=2):
@@ -122,6 +126,10 @@ def test_generator(spark):
     again = {(r["row"], r["col"], r["test"]): r["value"] for r in synth.generate(spark, 400, 100, 5).repartition(3).collect()}
     assert {(r["row"], r["col"], r["test"]): r["value"] for r in rows} == again and len(again) == len(rows)
     assert 0.1 < np.mean([r["test"] for r in rows]) < 0.3 and all(0 <= r["col"] < 100 for r in rows)
+    for x in synth.row_sizes(spark, 400, 100).collect():
+        cells = min(5 * x["degree"] // 4, 100)
+        assert (x["train"], x["test"]) == (int(0.8 * cells), cells - int(0.8 * cells))
+        assert (sum(r["row"] == x["row"] and not r["test"] for r in rows), sum(r["row"] == x["row"] and r["test"] for r in rows)) == (x["train"], x["test"])
 
 
 @pytest.mark.parametrize(("columns", "degree"), [(60, 50), (60, 90), (4000, 60)])
@@ -148,9 +156,9 @@ def test_bold_driver_covers_every_event(spark):
     from sparsewright.plans import catalogue
 
     sf = "/root/testdata/sf0.01"
-    found = catalogue.queries()["t9_bold_driver_all"](spark, sf)
+    found = catalogue.queries()["t9_bold_driver"](spark, sf)
     assert found.count() == spark.read.parquet(f"{sf}/events.parquet").count() > 2000
-    compare(spark, catalogue.queries()["t9_bold_driver_all"], catalogue.oracle_sql()["t9_bold_driver_all"], sf)
+    compare(spark, catalogue.queries()["t9_bold_driver"], catalogue.oracle_sql()["t9_bold_driver"], sf)
 
 
 SF_RATINGS = "/root/testdata/sf0.001"
@@ -172,9 +180,27 @@ def _followed(t, start, parts, halves=1, reverse=False, step=0.0, lam=0.05):
     return vec
 
 
+def _planned(t, parts, step, order, epochs=1, reverse=False, biased=False, mean=0.0, lam=0.05, start=None):
+    """The sequential rule, cell by cell, over sub-epochs (lists of the block that each part owns)."""
+    vec = {(r["kind"], r["id"]): np.array(r["vec"]) for r in start.collect()}
+    cells = sorted(((r["col"], r["row"], r["value"]) for r in t.collect()), reverse=reverse)
+    for owned in order:
+        for p, block in enumerate(owned):
+            for c, r, v in cells:
+                if r % parts == p and c % parts == block:
+                    w, h = vec["row", r], vec["col", c]
+                    if biased:
+                        x, y = np.append(w[:-1], 1.0), np.append(h[:-1], 1.0)
+                        e = w[:-1] @ h[:-1] + w[-1] + h[-1] + mean - v
+                    else:
+                        x, y, e = w, h, w @ h - v
+                    vec["row", r], vec["col", c] = w - step * (e * y + lam * w), h - step * (e * x + lam * h)
+    return vec
+
+
 @pytest.mark.parametrize(
     ("name", "options"),
-    [("t1_column_sweeps", {}), ("t3_stratified", {}), ("t4_two_phase_blocks", {"halves": 2}), ("t11_reverse_order", {"reverse": True})],
+    [("t1_column_sweeps", {}), ("t4_two_phase_blocks", {"halves": 2}), ("t11_reverse_order", {"reverse": True})],
 )
 def test_trainers_on_the_ratings_follow_the_sequential_rule(spark, name, options):
     from sparsewright.plans import catalogue, training
@@ -186,26 +212,205 @@ def test_trainers_on_the_ratings_follow_the_sequential_rule(spark, name, options
     assert all(got[k] == pytest.approx(want[k].tolist(), abs=1e-9) for k in want)
 
 
+def test_strata_and_scheduler_on_the_ratings_follow_the_sequential_rule(spark):
+    from sparsewright.plans import catalogue, training
+
+    t = training._scaled(spark, SF_RATINGS)
+    parts = training._parts(t)
+    want = _planned(t, parts, 1.5 * 0.02 / 1.1, sgd.strata(parts, 1, "wor"), start=training._start(t))
+    got = {(r["kind"], r["id"]): r["vec"] for r in catalogue.queries()["t3_stratified_ratings"](spark, SF_RATINGS).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k].tolist(), abs=1e-9) for k in want)
+
+    mean, start = t.agg(F.avg("value")).first()[0], sgd.start(t, 3, biased=True)
+    waves = [w for epoch in sgd.least_visited(3, 2, 1, 5) for w in epoch]
+    want = _planned(t, 3, 0.01, waves, biased=True, mean=mean, start=start)
+    factors, log = sgd.train(t, start, 3, 1, 0.01, strategy="least", seed=5, biased=True, mean=mean, bold=(0.5, 1.0))
+    got = {(r["kind"], r["id"]): r["vec"] for r in factors.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k].tolist(), abs=1e-9) for k in want)
+    errors = [(want["row", r["row"]][:-1] @ want["col", r["col"]][:-1] + want["row", r["row"]][-1] + want["col", r["col"]][-1] + mean - r["value"]) ** 2 for r in t.collect()]
+    assert log[0].rmse == pytest.approx(np.mean(errors) ** 0.5) and log[0].test_rmse is None
+
+
+def test_scheduler_spreads_its_visits():
+    for parts, workers in ((4, 3), (5, 4), (3, 1)):
+        scheduler = sgd.Scheduler(parts, 3)
+        for _ in range(40):
+            jobs = [scheduler.take() for _ in range(workers)]
+            assert None not in jobs and len({p for p, _ in jobs}) == len({b for _, b in jobs}) == workers
+            scheduler.free()
+            scheduler.mix()
+        assert scheduler.visits.max() - scheduler.visits.min() <= 2
+    assert [sum(b is not None for w in epoch for b in w) for epoch in sgd.least_visited(3, 2, 4, 1)] == [9] * 4
+    full = sgd.Scheduler(1)
+    assert full.take() == (0, 0) and full.take() is None
+
+
+def test_runs_without_repeats_are_the_sequential_sweep():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 300):
+        i, j = r.integers(0, 12, n), r.integers(0, 9, n)
+        runs = sgd.levels(i, j)
+        assert sorted(k for x in runs for k in x.tolist()) == list(range(n))
+        place = {k: m for m, x in enumerate(runs) for k in x.tolist()}
+        for x in runs:
+            assert len(set(i[x])) == len(set(j[x])) == len(x)
+        assert all(place[a] < place[b] for a in range(n) for b in range(a + 1, n) if i[a] == i[b] or j[a] == j[b])
+
+
+def test_starts_are_seeded_and_bounded(spark):
+    t = _low_rank(spark, 15, 10)
+    a = {(r["kind"], r["id"]): r["vec"] for r in sgd.start(t, 4, 7).collect()}
+    assert a == {(r["kind"], r["id"]): r["vec"] for r in sgd.start(t.repartition(5), 4, 7).collect()} != {(r["kind"], r["id"]): r["vec"] for r in sgd.start(t, 4, 8).collect()}
+    numbers = np.array(list(a.values()))
+    assert 0 <= numbers.min() and 0.4 < numbers.max() < 0.5 and len(np.unique(numbers)) == numbers.size == 100
+    small = sgd.start(t, 4, kind="small", biased=True).collect()
+    assert all(max(r["vec"]) < 0.1 and r["vec"][-1] == 0 and len(r["vec"]) == 5 for r in small)
+    with pytest.raises(ValueError):
+        sgd.start(t, 4, kind="large")
+
+
+def test_training_stops_by_change_and_by_value(spark):
+    t = _low_rank(spark)
+    _, log = sgd.train(t, _start(t, 4), 2, 40, 0.05, 0.0, 0.001, min_error=0.01, test=t.filter("row < 9"))
+    change = [abs(b.rmse - a.rmse) for a, b in zip(log, log[1:], strict=False)]
+    assert 2 <= len(log) < 40 and change[-1] <= 0.01 and all(c > 0.01 for c in change[:-1]) and all(x.test_rmse > 0 for x in log)
+    _, log = sgd.train(t, _start(t, 4), 2, 40, 0.05, 0.0, 0.001, stop_rmse=1e9, settled=3)
+    assert len(log) == 3
+    with pytest.raises(ValueError):
+        sgd.train(t, _start(t, 4), 2, 1, 0.05, strategy="none")
+
+
+def test_a_sub_epoch_reads_its_own_cells_and_tables_go(spark, tmp_path):
+    t = _low_rank(spark, 30, 20)
+    cells = sgd.Cells(t, 3, 3)
+    seen = []
+    for owned in sgd.strata(3, 1, "wor"):
+        mine = cells.of(owned)
+        assert len(mine.inputFiles()) < len(cells.whole.inputFiles()) and mine.filter(F.pmod("col", F.lit(3)) != F.col("block")).isEmpty()
+        seen += [tuple(r) for r in mine.select("row", "col").collect()]
+    assert sorted(seen) == sorted(tuple(r) for r in t.select("row", "col").collect())
+    assert cells.of([None] * 3).isEmpty()
+    before = set(os.listdir(shared_folder(spark).removeprefix("file:")))
+    sgd.train(t, _start(t, 3), 3, 2, 0.05)
+    assert len(set(os.listdir(shared_folder(spark).removeprefix("file:"))) - before) == 2  # the ratings and the last factors
+
+
+def test_early_stop_follows_the_rule_and_stops(spark):
+    from sparsewright.plans import training
+
+    sf = SF_RATINGS
+    stopped = {(r["kind"], r["id"], r["t"]): r["x"] for r in _sides(training._ccd(spark, sf, 2, 4, eps=0.3, nonneg=True))}
+    free = {(r["kind"], r["id"], r["t"]): r["x"] for r in _sides(training._ccd(spark, sf, 2, 4, nonneg=True))}
+    assert stopped.keys() == free.keys() and any(abs(stopped[k] - free[k]) > 1e-6 for k in free)
+    want, steps = _ranks(fixtures.event_matrix(spark, sf).collect(), 2, 0.1, 2, 4, 0.3)
+    assert steps < 2 * 2 * 4 and all(stopped[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def _sides(trained):
+    rows, cols, _ = trained
+    return rows.withColumn("kind", F.lit("row")).unionByName(cols.withColumn("kind", F.lit("col"))).collect()
+
+
+def _ranks(cells, k, lam, outer, inner, eps, quit_after=5):
+    """Non-negative rank-one coordinate descent with the early stop, in numpy; factors and inner steps taken."""
+    rows, cols = sorted({c["row"] for c in cells}), sorted({c["col"] for c in cells})
+    i, j = (np.array([x.index(c[n]) for c in cells]) for x, n in ((rows, "row"), (cols, "col")))
+    r = np.array([c["value"] for c in cells])
+    u = np.array([[((a * 7 + t * 3) % 10 + 1) / 20 for a in rows] for t in range(k)])
+    v, most, seen, steps = np.zeros((k, len(cols))), 0.0, 0, 0
+
+    def half(other, old, key, n):
+        g, h = np.bincount(key, other * r, n), lam * np.bincount(key, minlength=n) + np.bincount(key, other * other, n)
+        new = np.maximum(g / h, 0)
+        return new, float(np.where(g / h < 0, -2 * g * old + h * old * old, h * (old - new) ** 2).sum())
+
+    for o in range(outer):
+        early = 0
+        for t in range(k):
+            if early >= quit_after:
+                break
+            r = r + u[t][i] * v[t][j] * (o > 0)
+            for n in range(inner):
+                steps += 1
+                v[t], a = half(u[t][i], v[t], j, len(cols))
+                u[t], b = half(v[t][j], u[t], i, len(rows))
+                if a + b < most * eps:
+                    early += n == 0
+                    break
+                most = max(most, a + b) if seen else most
+                seen += 1
+            r = r - u[t][i] * v[t][j]
+    return {**{("row", a, t): u[t][x] for t in range(k) for x, a in enumerate(rows)}, **{("col", a, t): v[t][x] for t in range(k) for x, a in enumerate(cols)}}, steps
+
+
 def test_other_trainers_run_on_the_ratings(spark):
     from sparsewright.plans import catalogue, training
 
     t = training._scaled(spark, SF_RATINGS)
     sides = {kind: t.select(kind).distinct().count() for kind in ("row", "col")}
-    biased = catalogue.queries()["t6_biased"](spark, SF_RATINGS).collect()
+    biased = catalogue.queries()["t6_biased_ratings"](spark, SF_RATINGS).collect()
     assert {k: sum(r["kind"] == k for r in biased) for k in sides} == sides and all(np.isfinite(r["vec"]).all() for r in biased)
-    losses = [r["loss"] for r in catalogue.queries()["t13_rounds"](spark, SF_RATINGS).orderBy("round").collect()]
-    assert losses[0] > losses[1] > losses[2] > 0
-    same = catalogue.queries()["c2_async_snapshot_ratings"](spark, SF_RATINGS).collect()
-    assert {r["kind"]: r["n"] for r in same} == sides and not any(r["different"] for r in same)
+    rounds = catalogue.queries()["t13_rounds_ratings"](spark, SF_RATINGS).orderBy("round").collect()
+    assert [r["loss"] for r in rounds] == sorted((r["loss"] for r in rounds), reverse=True) and all(r["test_rmse"] > 0 for r in rounds)
     assert training._parts(spark.range(250_001)) == 3 and training._parts(t) == 2
 
 
+def test_noise_of_generated_values(spark):
+    from sparsewright.plans import catalogue
+
+    (x,) = catalogue.queries()["g4_noisy_values"](spark, SF_RATINGS).collect()
+    assert x["cells"] > 10_000 and abs(x["mean"]) < 0.004 and abs(x["spread"] - 0.1) < 0.004
+
+
+def test_numbers_come_from_ranges_whatever_the_ids(spark):
+    n = 20_000
+    ids = spark.range(n).select(F.format_string("Customer#%09d", "id").alias("id"))
+    numbered = M.numbered(ids.repartition(7), "id")
+    assert [r["id"] for r in M.id_map(ids.union(ids)).orderBy("idx").limit(3).collect()] == [f"Customer#{k:09d}" for k in range(3)]
+    got = numbered.agg(F.min("idx"), F.max("idx"), F.count_distinct("idx"), F.sum((F.substring("id", 10, 9).cast("long") != F.col("idx")).cast("int"))).first()
+    assert tuple(got) == (0, n - 1, n, 0)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges = M.cut(ids.repartitionByRange("id").withColumn("r", F.spark_partition_id())).groupBy("r").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(ranges) == 4 and max(r["count"] for r in ranges) < n / 2
+    t = spark.createDataFrame([(5_000_000, 1, 1.0)], "row long, col long, value double")
+    assert M.dense_ids(t, "row").rdd.getNumPartitions() > 1 and M.dense_ids(t, "row").count() == 5_000_001
+    assert M.numbered(ids.limit(0), "id").count() == 0
+
+
+def test_binary_ranges_know_what_lies_before_them(spark, tmp_path):
+    cells = [(r, c, float(r + c)) for r in range(50) for c in range(r % 7)]
+    t = spark.createDataFrame(cells, "row int, col int, value double")
+    binary.write(t, f"{tmp_path}/a.dat", 50, 9)
+    parts = binary.MatrixReader({"path": f"{tmp_path}/a.dat", "parts": "6"}).partitions()
+    assert [(p.before, p.held) for p in parts] == [(sum(r % 7 for r in range(p.first)), sum(r % 7 for r in range(p.first, p.last))) for p in parts]
+    assert sorted(map(tuple, binary.read(spark, f"{tmp_path}/a.dat", 6).collect())) == cells
+
+
+def test_stored_folders_are_checked(spark, tmp_path):
+    t = spark.createDataFrame([(0, 1, 2.0), (3, 0, 4.0)], "row long, col long, value double")
+    model.save_data(t, f"{tmp_path}/d")
+    assert sorted(map(tuple, model.load_data(spark, f"{tmp_path}/d").collect())) == [(0, 1, 2.0), (3, 0, 4.0)]
+    assert dict(map(tuple, model.view(spark, f"{tmp_path}/d").collect())) == {"type": "data", "nrows": "4", "ncols": "2", "nnz": "2", "mean": "3.0"}
+    with pytest.raises(ValueError, match="holds a data"):
+        model.load_model(spark, f"{tmp_path}/d")
+    spark.createDataFrame([("data", 9, "{}")], "type string, version int, params string").write.parquet(f"{tmp_path}/e/params")
+    with pytest.raises(ValueError, match="version 9"):
+        model.load_data(spark, f"{tmp_path}/e")
+    factors = spark.createDataFrame([("row", 0, [1.0, 0.5]), ("col", 1, [2.0, 0.25])], "kind string, id long, vec array<double>")
+    for biased, want in ((True, 1 * 2 + 0.5 + 0.25 + 3), (False, 1 * 2 + 0.5 * 0.25)):
+        model.save_model(model.from_factors(factors, biased, mean=3.0 if biased else 0.0), f"{tmp_path}/m{biased}")
+        assert [r["pred"] for r in model.predict(model.load_model(spark, f"{tmp_path}/m{biased}"), t).collect()] == [want]
+
+
 def test_best_items_of_every_row(spark, monkeypatch):
     from sparsewright.plans import catalogue, fixtures, models
 
     monkeypatch.setattr(models, "ROW_BLOCK", 40)
     monkeypatch.setattr(models, "COL_BLOCK", 30)
-    query, sql = catalogue.queries()["extension_top_items_all"], catalogue.oracle_sql()["extension_top_items_all"]
+    query, sql = catalogue.queries()["extension_top_items"], catalogue.oracle_sql()["extension_top_items"]
     ids = {r["row"] for r in fixtures.ratings(spark, SF_RATINGS, False).select("row").distinct().collect()}
     assert {r["row"] for r in query(spark, SF_RATINGS).select("row").collect()} == ids and max(ids) > 20
     compare(spark, query, sql, SF_RATINGS)
