@@ -249,10 +249,10 @@ _STATS = "count(*) AS u, sum(CASE WHEN value < 10 THEN 1 ELSE 0 END)::BIGINT AS
 
 
 @query("s16_statistics_block", f"""WITH g AS (SELECT event_type, {_STATS} FROM events GROUP BY 1)
-    SELECT event_type, 'Statistics:' || chr(10) || repeat('=', 53) || chr(10) || printf('elapsed time: %.2f total training time: %.2f total testing time: %.2f current training RMSE: %.6f', t, t, t / 4, sqrt(sse / u)) || chr(10)
-      || printf('current test RMSE: %.6f', sqrt(sse / 2 / u)) || chr(10) || printf('detail: train: s=%.2f, c=%d; test: s=%.2f, c=%d; u=%d, f=%d, s=%d', sse, u, sse / 2, u, u, f, u + f) || chr(10)
-      || CASE WHEN f > 0 THEN printf('Number of checkpoints: %d Total time by master: %.2f by worker: %.2f each one: %.2f', f, t / 2, t, t / 2 / f) || chr(10)
-         || printf('Total checkpoint writing time: %.2f each one: %.2f average on worker: %.2f', t / 8, t / 8 / f, t / 8 / f / 4) || chr(10) ELSE '' END || repeat('=', 53) AS block FROM g""")
+    SELECT event_type, 'Statistics:' || chr(10) || repeat('=', 53) || chr(10) || printf('elapsed time: %.6f total training time: %.6f total testing time: %.6f current training RMSE: %.6f', t, t, t / 4, sqrt(sse / u)) || chr(10)
+      || printf('current test RMSE: %.6f', sqrt(sse / 2 / u)) || chr(10) || printf('detail: train: s=%.6f, c=%d; test: s=%.6f, c=%d; u=%d, f=%d, s=%d', sse, u, sse / 2, u, u, f, u + f) || chr(10)
+      || CASE WHEN f > 0 THEN printf('Number of checkpoints: %d Total time by master: %.6f by worker: %.6f each one: %.6f', f, t / 2, t, t / 2 / f) || chr(10)
+         || printf('Total checkpoint writing time: %.6f each one: %.6f average on worker: %.6f', t / 8, t / 8 / f, t / 8 / f / 4) || chr(10) ELSE '' END || repeat('=', 53) AS block FROM g""")
 def _(spark, sf):
     e = X.table(spark, sf, "events")
     g = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("u"), F.sum(F.when(F.col("value") < 10, 1).otherwise(0)).cast("long").alias("f"), F.sum("value").alias("sse"), F.max("event_id").cast("double").alias("t"))
@@ -261,7 +261,7 @@ def _(spark, sf):
         (F.col("sse") / 2).alias("test_sse"), F.col("u").alias("test_n"), F.col("u").alias("updates"), F.col("f").alias("failures"), (F.col("u") + F.col("f")).alias("sends"),
         F.col("f").alias("checkpoints"), (F.col("t") / 2).alias("cp_master"), F.col("t").alias("cp_workers"), (F.col("t") / 8).alias("cp_write"), F.lit(4).alias("workers"),
     )
-    return L.statistics_block(stats, 6, 2).select("event_type", "block")
+    return L.statistics_block(stats, 6, 6).select("event_type", "block")
 
 
 @query("t14_termination", W + _DIFF + f" SELECT {RUN}, time, coalesce(abs(diff) <= 0.01, false) OR (rmse <= 1.2 AND update >= 20000) AS stop FROM d")
