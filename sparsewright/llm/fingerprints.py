@@ -28,11 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import mix
+from .common import shuffle_partitions
+from .kernels import mix, release
 
 SIZE, FIRST_LEVEL = 64, 2
-#: Groups of neighbouring ids that the texts are dealt into, at most.
-GROUPS = 2048
 SLICE = 3 << 20
 _U = np.uint64
 
@@ -168,13 +167,14 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows, texts, held = [], [], 0
         if rows:
             yield work(rows, texts)
+    release()
 
 
 NAMES = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 _SCHEMA = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: int = GROUPS) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: int | None = None) -> DataFrame:
     """One row per row of `docs`: id, `n_chars`, the digest of its edited text, both fingerprints, and the
     likeness of its fingerprint to the edited text's and to the next document's.
 
@@ -183,35 +183,42 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts are empty.  Null ids come last; rows that repeat an id follow one another in the order of their
     texts' digests.  A single document is its own next one.  An empty table gives no rows.
 
-    Neighbours meet without a global sort: quantiles of the ids, at most `groups`, deal the texts into
-    groups of neighbouring ids, and the first row of each group is also sent to the group before it.
+    Neighbours meet without a global sort of the texts: the ids and digests alone are dealt into ranges, of
+    which there are `groups` (by default four for each shuffle partition, so more for more data).  The first
+    row of each range is a cut; the texts are dealt by the cuts into groups of neighbours, and a row that is
+    a cut is also sent to the group before it.  Rows of one id can lie in several groups.
     """
-    low = -(1 << 63)
+    low, spark = -(1 << 63), docs.sparkSession
     named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if named.isEmpty():
-        return docs.sparkSession.createDataFrame([], _SCHEMA).withColumnRenamed("id", id_col)
-    steps = [k / groups for k in range(1, groups)]
-    cuts = sorted(set(named.agg(F.percentile_approx("id", steps, 10 * groups)).first()[0] or []))
-    named = named.withColumn("group", _group(cuts)(F.col("id"))).withColumn("tie", F.sha2("text", 256))
-    # the first row of each group: at most `groups` rows, without their texts
-    first = F.struct((-F.col("id").cast("decimal(20,0)")).alias("o"), "tie")
-    heads = {r["group"]: (r["f"]["o"], r["f"]["tie"]) for r in named.groupBy("group").agg(F.min(first).alias("f")).collect()}
-    order = sorted(heads)
-    before = {g: order[i - 1] for i, g in enumerate(order)}  # the first group's head ends the last group
-    spark = docs.sparkSession
-    marks = spark.createDataFrame([(g, -int(o), tie, before[g]) for g, (o, tie) in heads.items()], "group long, id long, tie string, into long")
-    own = named.select("group", "id", "tie", "text", F.lit(False).alias("extra"))
-    sent = named.join(F.broadcast(marks), ["group", "id", "tie"]).select(F.col("into").alias("group"), "id", "tie", "text", F.lit(True).alias("extra"))
-    rows = own.unionByName(sent.dropDuplicates(["group"])).repartition("group").sortWithinPartitions(F.col("group"), F.col("extra"), F.col("id").desc(), F.col("tie"))
+    named = named.select(F.bitwise_not("id").alias("place"), F.sha2("text", 256).alias("tie"), "text")  # rises as the id falls
+    ranges = named.select("place", "tie").repartitionByRange(groups or 4 * shuffle_partitions(spark), "place", "tie").withColumn("range", F.spark_partition_id())
+    first = ranges.groupBy("range").agg(F.min(F.struct("place", "tie")).alias("f")).select("f.*").collect()  # a row per range
+    cuts = sorted({(r["place"], r["tie"]) for r in first})
+    if not cuts:
+        return spark.createDataFrame([], _SCHEMA).withColumnRenamed("id", id_col)
+    into = named.select("place", "tie", "text", F.explode(_groups(cuts)("place", "tie")).alias("group"))
+    own = into.select(F.abs("group").alias("group"), F.bitwise_not("place").alias("id"), "place", "tie", "text", (F.col("group") < 0).alias("extra"))
+    rows = own.repartition("group").sortWithinPartitions("group", "extra", "place", "tie")
     out = rows.select("group", "id", "extra", "text").mapInArrow(_edited, _SCHEMA)
     return out.withColumn("id", F.when(F.col("id") != low, F.col("id"))).withColumnRenamed("id", id_col)
 
 
-def _group(cuts: list[int]):
-    """Number of cuts above an id."""
-
-    @F.pandas_udf("long")
-    def group(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(cuts) - np.searchsorted(np.array(cuts, np.int64), ids.to_numpy(), "right"))
-
-    return group
+def _groups(cuts: list[tuple[int, str]]):
+    """The groups of a row: the number, from 1, of the last cut up to it, and for a cut the group before, negative."""
+    places, ties = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts])
+
+    @F.pandas_udf("array<long>")
+    def found(place: pd.Series, tie: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        lo, hi = np.searchsorted(places, at, "left"), np.searchsorted(places, at, "right")
+        group, cut = hi.copy(), np.zeros(len(at), bool)
+        own = np.flatnonzero(hi > lo)  # ids that are some cut's: the digests decide
+        for a, z in set(zip(lo[own].tolist(), hi[own].tolist(), strict=True)):
+            mine = own[lo[own] == a]
+            mine_tie = tie.to_numpy()[mine].astype(ties.dtype)
+            group[mine] = a + np.searchsorted(ties[a:z], mine_tie, "right")
+            cut[mine] = group[mine] > a + np.searchsorted(ties[a:z], mine_tie, "left")
+        before = np.where(group > 1, group - 1, len(cuts))  # the first group's cut ends the last group
+        return pd.Series([[g, -b] if c else [g] for g, b, c in zip(group.tolist(), before.tolist(), cut.tolist(), strict=True)])
+
+    return found
