@@ -72,11 +72,12 @@ def _count(path: str, call_bytes: int, piece_chars: int):
             def flush(totals=totals):
                 np.add.at(totals, rows, [len(x) for x in model.encode(texts, num_threads=1)])
 
-            for r, text in enumerate(batch.column("text")):
-                for part in split_text(text.as_py() or "", limit):
+            for r, (text, size) in enumerate(zip(batch.column("text"), batch.column("n_bytes").to_pylist(), strict=True)):
+                parts = split_text(text.as_py() or "", limit)
+                for part in parts:
                     texts.append(part)
                     rows.append(r)
-                    held += len(part)
+                    held += size if len(parts) == 1 else len(part.encode())
                     if held >= call_bytes:
                         flush()
                         texts, rows, held = [], [], 0
