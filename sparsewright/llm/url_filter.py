@@ -89,7 +89,8 @@ def _listed(spark: SparkSession, keys: Sequence[str]) -> DataFrame:
 def cascade(universe: DataFrame, listed: Sequence[str]) -> list[Level]:
     """The levels that tell `listed` from every other key of `universe` (one column, key; repeats allowed).
 
-    An empty list has no level; an empty universe has one.  Null keys are in no set.
+    An empty list has no level; an empty universe has one.  Null keys are in no set.  At most four mistakes
+    for each listed key, and a thousand, come to the driver.
     """
     listed = sorted(set(listed))
     if len(listed) > MAX_LISTED:
@@ -98,8 +99,14 @@ def cascade(universe: DataFrame, listed: Sequence[str]) -> list[Level]:
         return []
     spark = universe.sparkSession
     seen = universe.select(F.approx_count_distinct("key")).first()[0]
-    levels = [Level(1, len(listed), min(0.5, len(listed) / (math.sqrt(2) * max(1, seen)))).fill(_listed(spark, listed))]
-    wrong = [r[0] for r in universe.filter(~F.col("key").isin(*listed) & levels[0].has(F.col("key"))).distinct().collect()]
+    rate, most = min(0.5, len(listed) / (math.sqrt(2) * max(1, seen))), 4 * len(listed) + 1000
+    while True:  # `seen` is an estimate: a level that lets too many pass is built again, with fewer mistakes
+        levels = [Level(1, len(listed), rate).fill(_listed(spark, listed))]
+        mistaken = universe.filter(~F.col("key").isin(*listed) & levels[0].has(F.col("key"))).distinct()
+        wrong = [r[0] for r in mistaken.limit(most + 1).collect()]
+        if len(wrong) <= most:
+            break
+        rate /= 8
     inside, others = listed, wrong
     while others:
         levels.append(level := Level(len(levels) + 1, len(others), 0.5).fill(_listed(spark, others)))
