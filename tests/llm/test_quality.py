@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparsewright.llm.kernels import raw
-from sparsewright.llm.quality import STATISTICS, drop_poor, fit, lasso, quality_scores, statistics, train
+from sparsewright.llm.quality import BINS, RATE, STATISTICS, Ensemble, drop_poor, fit, lasso, quality_scores, statistics, train, tree_rules
 
 SF = "/root/testdata/sf0.1"
 
@@ -43,6 +44,65 @@ def test_statistics_by_hand():
     assert not statistics(*raw(pa.array(["", None]))).any()
 
 
+def test_rules_are_the_paths_of_plainly_grown_trees():
+    """Trees grown by loops over rows and bounds, with the same random choices."""
+    r = np.random.default_rng(5)
+    x = np.round(r.random((120, 4)), 2)
+    y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.3)).astype(float)
+    rng, n, d = np.random.default_rng(7), 120, 4
+    bounds = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])).tolist() for k in range(d)]
+    f, want = [math.log((y.sum() + 1) / (n - y.sum() + 1))] * n, []
+    for _ in range(3):
+        p = [1 / (1 + math.exp(-v)) for v in f]
+        g, h = [a - b for a, b in zip(y, p, strict=True)], [max(b * (1 - b), 1e-6) for b in p]
+        used = (rng.random(n) < 0.6).tolist()
+        pool = rng.permutation(d)[: max(1, d * 2 // 3)].tolist()
+
+        def grow(rows, path, left, g=g, h=h, used=used, pool=pool):
+            mine, best, choice = [i for i in rows if used[i]], 1e-3, None
+            if left and len(mine) >= 20:
+                gain_of = lambda side: sum(g[i] for i in side) ** 2 / (sum(h[i] for i in side) + 1)
+                for k in pool:
+                    for b in bounds[k]:
+                        low, high = [i for i in mine if x[i, k] <= b], [i for i in mine if x[i, k] > b]
+                        gain = gain_of(low) + gain_of(high) - gain_of(mine) if min(len(low), len(high)) >= 5 else 0
+                        if gain > best + 1e-12:
+                            best, choice = gain, (k, b)
+            if choice is None:
+                step = RATE * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1)
+                for i in rows:
+                    f[i] += step
+                return
+            k, b = choice
+            for above in (False, True):
+                longer = (*path, (k, above, b))
+                want.append(tuple(sorted(longer)))
+                grow([i for i in rows if (x[i, k] > b) == above], longer, left - 1)
+
+        grow(list(range(n)), (), 2)
+    assert tree_rules(x, y, trees=3, depth=2) == list(dict.fromkeys(want))
+
+
+def test_lasso_meets_its_optimality_conditions():
+    """The gradient of the mean loss is -penalty * sign at weights that are not zero, and smaller elsewhere."""
+    r = np.random.default_rng(2)
+    z = (r.random((800, 10)) < 0.4).astype(float)
+    y = (r.random(800) < 1 / (1 + np.exp(-(1.5 * z[:, 1] - z[:, 4] + 0.2)))).astype(float)
+    b, w = lasso(z, y, 0.01, 6000)
+    error = [1 / (1 + math.exp(-(b + sum(a * c for a, c in zip(w, row, strict=True))))) - t for row, t in zip(z, y, strict=True)]
+    assert abs(sum(error)) / 800 < 1e-6
+    for k in range(10):
+        slope = sum(e * row[k] for e, row in zip(error, z, strict=True)) / 800
+        assert abs(slope + 0.01 * np.sign(w[k])) < 1e-5 if w[k] else abs(slope) <= 0.01 + 1e-9
+
+
+def test_score_is_the_sum_of_the_rules_that_hold():
+    rules = [(((0, True, 0.5),), 2.0), (((0, False, 0.5), (2, True, 0.1)), -3.0), ((), 0.25)]
+    x = np.array([[0.6, 0, 0.0], [0.5, 0, 0.2], [0.1, 0, 0.1]])
+    for row, want in zip(x, (0.5 + 2 + 0.25, 0.5 - 3 + 0.25, 0.5 + 0.25), strict=True):
+        assert Ensemble(0.5, rules).score(row[None, :])[0] == pytest.approx(1 / (1 + math.exp(-want)))
+
+
 def test_lasso_finds_the_sparse_answer():
     r = np.random.default_rng(0)
     z = (r.random((3000, 12)) < 0.5).astype(float)
