@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed
+from .common import NO_ID, ascii_lower, checkpointed, row_keys, rows_of
 
 COUNTERS = 256
 
@@ -34,6 +34,20 @@ def hot_digests(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return counted.filter((F.col("size") * counters >= total) & (F.col("size") > 1))
 
 
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, digest) of every row, written once: all else reads these rows, not the texts."""
+    return checkpointed(docs.select(F.col(id_col).alias("id"), F.unhex(text_digest(F.col(text_col))).alias("digest")))
+
+
+def grouped(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
+    """Adds `keep_id`, the largest id of the rows (id, digest) of one digest, and their number `group_size`."""
+    hot = checkpointed(hot_digests(rows, counters), slim=True)
+    rest = rows.join(F.broadcast(hot), "digest", "left_anti")
+    groups = rest.groupBy("digest").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("size"))
+    decided = rows.join(F.broadcast(hot), "digest").unionByName(rest.join(groups, "digest"))
+    return decided.select("id", "digest", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """One row per row of `docs`: its id, `keep_id`, `group_size`, `kept`, `text_sha256`.
 
@@ -42,21 +56,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows without an id hold have a null `keep_id`, and those rows stay.  An empty table gives an empty
     result.  Other columns of `docs` are not read, whatever their names.
     """
-    rows = checkpointed(docs.select(F.col(id_col).alias("id"), F.unhex(text_digest(F.col(text_col))).alias("digest")))
-    hot = checkpointed(hot_digests(rows, counters))
-    rest = rows.join(F.broadcast(hot), "digest", "left_anti")
-    groups = rest.groupBy("digest").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("size"))
-    decided = rows.join(F.broadcast(hot), "digest").unionByName(rest.join(groups, "digest"))
-    return decided.select(
+    return grouped(digests(docs, id_col, text_col), counters).select(
         F.col("id").alias(id_col),
-        F.col("keep").alias("keep_id"),
-        F.col("size").alias("group_size"),
-        F.col("id").eqNullSafe(F.col("keep")).alias("kept"),
+        "keep_id",
+        "group_size",
+        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that `exact_groups` keeps, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One row of `docs` for each text (A-Z lower-cased, null equals empty), with all its columns.
+
+    It is the row with the largest id; where several rows have that id and text, the one with the smallest
+    hash of all its columns.  Columns of any name may be there.
+    """
+    keyed = row_keys(docs, id_col, text_col)
+    rows = checkpointed(keyed.select("id", F.unhex(text_digest(F.col("row")[text_col])).alias("digest"), "tie"))
+    groups = grouped(rows.select("id", "digest"))
+    kept = groups.filter("id = keep_id").select("id", "digest").distinct()
+    return rows_of(keyed, rows.join(kept, ["id", "digest"], "left_semi").select("id", "tie"), ["id", "tie"])

@@ -1,8 +1,10 @@
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
-from brute import near_classes, probability_jaccard, shingle_bag
+from brute import jaccard, log_jaccard, near_classes, probability_jaccard, shingle_bag
 from pyspark.sql import functions as F
 
 from sparsewright.llm.components import components
@@ -40,6 +42,8 @@ def test_likeness_and_signature_agree_with_brute_force():
         got = likeness(s[: first[1]], w[: first[1]], s[first[1] :], w[first[1] :])
         want = probability_jaccard(shingle_bag(a), shingle_bag(b))
         assert got == pytest.approx(want)
+        logs = 1 + np.log(w)
+        assert likeness(s[: first[1]], logs[: first[1]], s[first[1] :], logs[first[1] :]) == pytest.approx(log_jaccard(shingle_bag(a), shingle_bag(b)))
         kept = prob_minhash(first, s, w, 4096)
         assert np.mean(kept[0] == kept[1]) == pytest.approx(want, abs=0.05)
 
@@ -76,14 +80,25 @@ def test_chains_hot_groups_and_edge_cases(spark):
     out = near_duplicates(docs).collect()
     _same_classes({x["doc_id"]: x["class_id"] for x in out}, near_classes([x[:2] for x in rows]))
     assert all(x["kept"] == (x["doc_id"] == x["class_id"]) for x in out)
-    counted = near_duplicates(docs.filter("doc_id >= 80"), weighting="counts").collect()
-    _same_classes({x["doc_id"]: x["class_id"] for x in counted}, near_classes([x[:2] for x in rows if x[0] >= 80], like=probability_jaccard))
+    for weighting, like in (("counts", probability_jaccard), ("set", jaccard)):
+        counted = near_duplicates(docs.filter("doc_id >= 80"), weighting=weighting).collect()
+        _same_classes({x["doc_id"]: x["class_id"] for x in counted}, near_classes([x[:2] for x in rows if x[0] >= 80], like=like))
     assert near_duplicates(docs.filter(F.lit(False))).count() == 0
+    long = " ".join(f"l{k}" for k in range(60_000))
+    long = spark.createDataFrame([(1, long), (2, long + " and more"), (3, long[: len(long) // 2])], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["class_id"]) for r in near_duplicates(long).collect()) == [(1, 1), (2, 1), (3, 3)]
     odd = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     assert sorted(map(tuple, near_duplicates(odd).collect()), key=str) == [(1, 1, True), (1, 1, True), (None, 1, False)]
 
 
-@pytest.mark.parametrize("weighting", ["set", "counts"])
+def test_one_id_with_several_texts_is_one_document(spark):
+    rows = [(None, f"n{k} text") for k in range(4)] + [(1, "a"), (1, "a"), (5, "x"), (5, "y"), (7, "y")]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    x_first = hashlib.sha256(b"x").digest() < hashlib.sha256(b"y").digest()
+    assert Counter((r["doc_id"], r["class_id"]) for r in out) == Counter([(None, None)] * 4 + [(1, 1)] * 2 + [(5, 5 if x_first else 7)] * 2 + [(7, 7)])
+
+
+@pytest.mark.parametrize("weighting", ["set", "counts", "log"])
 def test_pairs_at_exactly_the_threshold_are_linked(spark, weighting):
     """12 of 15, 48 of 60 and 80 of 100 shingles shared; 79 of 101 are too few."""
     pairs = [([f"a{k}" for k in range(16)], [f"a{k}" for k in range(16)] + ["x", "y", "z"])]
