@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import NO_ID, checkpointed, row_keys
+
 SEED = "mix-1"
 BUCKETS = 1024
 MAX_EPOCHS = 3
@@ -50,12 +52,13 @@ def targets(totals: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     return marked.withColumn("target", target).select("src", "missing", "size", "weight", "target")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", also: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of `docs`: its id, `size`, `source_size`, `target`, `taken` (words) and `copies`.
 
     The same input and seed give the same result.  A null source is a source of its own, the last; a
     null or empty text has size 0 and is never taken.  Rows that repeat an id are separate documents.
     A null id takes part with a hash of its own.  An empty table, or one without words, takes nothing.
+    The columns `also` are kept; where rows have one id and size they decide the order.
     """
     named = docs.select(
         F.col(id_col).alias("id"),
@@ -63,6 +66,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
         F.col(source_col).isNull().alias("missing"),
         n_words(F.col(text_col)).alias("words"),
         F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 12).alias("draw"),
+        *also,
     )
     keys = ("src", "missing", "bucket")
     # one exchange serves both the bucket totals and the running sums
@@ -74,7 +78,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
     plan = targets(buckets.groupBy("src", "missing").agg(F.sum("held").alias("size")), weights, max_epochs)
     plan = plan.withColumnRenamed("size", "source_size").drop("weight")
     offsets = buckets.drop("held").join(plan, ["src", "missing"])
-    within = Window.partitionBy(*keys).orderBy("draw", "id", "words").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys).orderBy("draw", "id", "words", *also).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("ahead", F.coalesce(F.sum("words").over(within), F.lit(0))).join(offsets, list(keys))
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(epochs)
@@ -83,15 +87,25 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
     copies = F.when(F.col("words") > 0, whole + extra).otherwise(F.lit(0)).cast("long")
     return placed.select(
         F.col("id").alias(id_col), F.col("words").alias("size"), "source_size", "target",
-        (copies * F.col("words")).alias("taken"), copies.alias("copies"),
+        (copies * F.col("words")).alias("taken"), copies.alias("copies"), *also,
     )
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of `docs`, each as often as `mix` takes it, with all their columns.
 
-    Rows that `mix` takes 0 times are those that the weights leave out.
+    Rows that `mix` takes 0 times are those that the weights leave out.  Rows are told apart by id, text and
+    source: of rows that agree in these, the one with the smallest hash of all its columns stands for all.
+    Columns of any name may be there.
     """
-    taken = mix(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(taken, docs[id_col].eqNullSafe(taken["__id"])).filter("__copies > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    keyed = row_keys(docs, id_col, text_col, text_col, source_col)
+    rows = keyed.select("id", "tie", F.col("row")[text_col].alias("text"), F.col("row")[source_col].alias("source"))
+    drawn = rows.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), "tie", "text", "source")
+    taken = mix(drawn, id_col="id", text_col="text", source_col="source", also=("tie",), **options)
+    taken = taken.groupBy(F.coalesce("id", F.lit(NO_ID)).alias("id"), "tie").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("times"))
+    taken = checkpointed(taken.filter("copies > 0"))
+    out = keyed.join(taken.filter("times = 1"), ["id", "tie"]).select("row", "copies")
+    if not (several := taken.filter("times > 1")).isEmpty():
+        first = keyed.join(several, ["id", "tie"]).groupBy("id", "tie").agg(F.min_by("row", F.xxhash64("row")).alias("row"), F.first("copies").alias("copies"))
+        out = out.unionByName(first.select("row", "copies"))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

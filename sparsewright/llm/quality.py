@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .kernels import grams, mix, raw, release, slices, words
 
@@ -92,18 +93,20 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with a double column `__<statistic>` for each statistic."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + "".join(f", `__{k}` double" for k in STATISTICS)
-    columns, where = docs.columns, docs.columns.index(text_col)
+    """(row, <statistic>, ...): every row of `docs` as a struct, so that no column's name matters, and its statistics."""
+    where = docs.columns.index(text_col)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    schema = StructType([rows.schema["row"], *(StructField(k, DoubleType()) for k in STATISTICS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                x = statistics(*raw(part.column(where)))
-                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, x.T)], names=[*columns, *(f"__{k}" for k in STATISTICS)])
+            texts = pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).flatten()[where]], ["row", "text"])
+            for part in slices(texts, "text"):
+                x = statistics(*raw(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("row"), *map(pa.array, x.T)], names=["row", *STATISTICS])
         release()
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, bound): value > bound, or value <= bound
@@ -123,7 +126,7 @@ class Ensemble:
         for rule, weight in self.rules:
             test = F.lit(True)
             for k, above, bound in rule:
-                c = F.col(f"__{STATISTICS[k]}")
+                c = F.col(STATISTICS[k])
                 test = test & (c > float(bound) if above else c <= float(bound))
             total = total + F.when(test, F.lit(float(weight))).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
@@ -219,16 +222,16 @@ def held_out(id_: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ensemble:
     """Fit on at most `sample` labelled, not held out rows.  Several labels of an id count as their mean."""
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
-    chosen = usable.groupBy(F.col(id_col).alias("__id")).agg(F.round(F.avg(label_col)).alias("__y")).orderBy(F.md5(F.col("__id").cast("string")), "__id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    rows = with_statistics(texts.join(F.broadcast(chosen), "__id"), "__text").drop("__text").orderBy("__id").collect()
-    x = np.array([[r[f"__{k}"] for k in STATISTICS] for r in rows]).reshape(-1, len(STATISTICS))
-    return fit(x, np.array([r["__y"] for r in rows], float))
+    chosen = usable.groupBy(F.col(id_col).alias("id")).agg(F.round(F.avg(label_col)).alias("y")).orderBy(F.md5(F.col("id").cast("string")), "id").limit(sample)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = with_statistics(texts.join(F.broadcast(chosen), "id")).select("row.id", "row.y", *STATISTICS).orderBy("id", *STATISTICS).collect()
+    x = np.array([[r[k] for k in STATISTICS] for r in rows]).reshape(-1, len(STATISTICS))
+    return fit(x, np.array([r["y"] for r in rows], float))
 
 
 def scored(docs: DataFrame, model: Ensemble, text_col: str = "text") -> DataFrame:
-    """`docs` with `__score`, the statistics' columns dropped."""
-    return with_statistics(docs, text_col).withColumn("__score", model.column()).drop(*(f"__{k}" for k in STATISTICS))
+    """(row, score) of every row of `docs`."""
+    return with_statistics(docs, text_col).select("row", model.column().alias("score"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -238,11 +241,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Without labels the score is 1/2.
     """
     model = train(docs, labels, id_col=id_col, text_col=text_col)
-    out = scored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model)
-    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    out = scored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model).select("row.id", "score")
+    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that the classifier does not reject, with all their columns."""
+    """The rows of `docs` that the classifier does not reject, with all their columns, whatever their names.
+
+    Repeated rows stay or go together.  Without labels, or with those of one class only, nothing tells good
+    texts from poor ones, and every row stays.
+    """
     model = train(docs, labels, id_col=id_col, text_col=text_col)
-    return scored(docs, model, text_col).filter(F.col("__score") >= threshold).select(*docs.columns)
+    if not model.rules:
+        return docs
+    return scored(docs, model, text_col).filter(F.col("score") >= threshold).select("row.*")
