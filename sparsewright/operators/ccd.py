@@ -1,7 +1,7 @@
 """Rank-one coordinate descent on a residual table, DataFrame operations only.
 
 The residual (row, col, value, r) lives in Parquet-backed checkpoints: each rank step reads it once per half
-step.  A half step joins the other side's coordinate and sums per key: map-side combined, so a popular row
+step, and the table that it replaces is deleted.  A half step joins the other side's coordinate and sums per key: map-side combined, so a popular row
 or column is one partial sum per task.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .checkpoint import cut
+from .checkpoint import cut, forget
 
 
 def half_step(res: DataFrame, other: DataFrame, key: str, other_key: str, lam: float, nonneg: bool = False) -> DataFrame:
@@ -48,30 +48,38 @@ def train(t: DataFrame, k: int, lam: float, outer: int, inner: int, init: DataFr
     """
     res = cut(t.withColumn("r", F.col("value")))
     u = {j: cut(init.filter(F.col("t") == j).select("row", "x")) for j in range(k)}
-    v = {j: None for j in range(k)}
+    v: dict[int, DataFrame | None] = {j: None for j in range(k)}
     log, most, seen = [], 0.0, 0
+
+    def moved(sign: int, j: int) -> DataFrame:
+        """The residual with rank j added or taken away; the table before it goes."""
+        new = cut(shift(res, u[j], v[j], sign))
+        forget(res)
+        return new
+
     for o in range(outer):
         early = 0
         for j in range(k):
             if early >= quit_after:
                 break
             if v[j] is not None:
-                res = shift(res, u[j], v[j], 1)
-            res = cut(res)
-            old_u, old_v = u[j], v[j] if v[j] is not None else res.select("col").distinct().withColumn("x", F.lit(0.0))
+                res = moved(1, j)
             for i in range(inner):
-                new_v = cut(decrease(res, old_u, old_v, "col", "row", lam, nonneg))
-                new_u = cut(decrease(res, new_v, old_u, "row", "col", lam, nonneg))
+                start = v[j] if v[j] is not None else res.select("col").distinct().withColumn("x", F.lit(0.0))
+                new_v = cut(decrease(res, u[j], start, "col", "row", lam, nonneg))
+                new_u = cut(decrease(res, new_v, u[j], "row", "col", lam, nonneg))
                 gain = sum((d.agg(F.sum("fundec")).first()[0] or 0.0) for d in (new_v, new_u))
-                old_u, old_v = new_u.drop("fundec"), new_v.drop("fundec")
+                for old in (u[j], v[j]):
+                    if old is not None:
+                        forget(old)
+                u[j], v[j] = new_u, new_v
                 if eps is not None and gain < most * eps:
                     early += i == 0
                     break
                 if seen:
                     most = max(most, gain)
                 seen += 1
-            u[j], v[j] = old_u, old_v
-            res = cut(shift(res, u[j], v[j], -1))
+            res = moved(-1, j)
             log.append((o, j, res.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0))
     long = lambda side, key: _union(d.select(F.col(key).alias("id"), F.lit(j).alias("t"), "x") for j, d in side.items() if d is not None)
     return long(u, "row"), long(v, "col"), log

@@ -62,7 +62,10 @@ def test_resume_equals_a_straight_run(spark, tmp_path):
 def test_ccd_objective_never_rises_and_fits(spark):
     t = _low_rank(spark)
     init = t.select("row").distinct().select("row", F.explode(F.array(F.lit(0), F.lit(1))).alias("t")).withColumn("x", (F.col("row") % 5 + F.col("t") + 1) / 10.0)
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
     rows, cols, log = ccd.train(t, 2, 0.001, 3, 2, init)
+    assert len(set(os.listdir(folder)) - before) == 5  # the residual and both sides of two ranks
     losses = [x[2] for x in log]
     assert all(b <= a * 1.001 for a, b in zip(losses, losses[1:], strict=False)) and losses[-1] < 0.2 * losses[0]
     assert rows.count() == 80 and cols.count() == 50
