@@ -83,10 +83,11 @@ def rows_of(keyed: DataFrame, chosen: DataFrame, key: list[str], smallest_digest
     """One of `keyed`'s rows (`row_keys`) for each key of `chosen`, its columns unpacked.
 
     `chosen` has a row for each of `keyed`'s rows of these keys.  Only the rows of keys that it has more than
-    once are gathered, by a map-side combined minimum.
+    once are gathered, by a map-side combined minimum.  The keys are as many as rows stay: they are merged, at
+    any size, not broadcast.
     """
     wanted = checkpointed(slim=True, df=chosen.groupBy(*key).agg(F.count(F.lit(1)).alias("times")))
-    out = keyed.join(wanted.filter("times = 1").select(*key), key, "left_semi").select("row")
+    out = keyed.join(wanted.filter("times = 1").select(*key).hint("merge"), key, "left_semi").select("row")
     if not (several := wanted.filter("times > 1")).isEmpty():
         digest = [F.sha2(ascii_lower(F.col("row")[smallest_digest]), 256)] if smallest_digest else []
         first = F.min_by("row", F.struct(*digest, F.xxhash64("row")))

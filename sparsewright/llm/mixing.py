@@ -104,7 +104,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     taken = mix(drawn, id_col="id", text_col="text", source_col="source", also=("tie",), **options)
     taken = taken.groupBy(F.coalesce("id", F.lit(NO_ID)).alias("id"), "tie").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("times"))
     taken = checkpointed(taken.filter("copies > 0"))
-    out = keyed.join(taken.filter("times = 1"), ["id", "tie"]).select("row", "copies")
+    out = keyed.join(taken.filter("times = 1").hint("merge"), ["id", "tie"]).select("row", "copies")  # as many as rows that stay
     if not (several := taken.filter("times > 1")).isEmpty():
         first = keyed.join(several, ["id", "tie"]).groupBy("id", "tie").agg(F.min_by("row", F.xxhash64("row")).alias("row"), F.first("copies").alias("copies"))
         out = out.unionByName(first.select("row", "copies"))
