@@ -272,6 +272,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null id comes before all others; a null text is empty.  Texts shorter than `depth` words keep every
     word.  An empty table gives an empty result.  Other columns of `docs` are not read.
     """
+    if group < 2:
+        raise ValueError("a group holds two records at least: parts of one would leave all of them open")
     n, both = shuffle_partitions(docs.sparkSession), ["id", "tie"]
     named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = named.select("id", F.xxhash64("text").alias("tie"), "text")

@@ -3,6 +3,7 @@ import random
 import subprocess
 import sys
 
+import pytest
 from brute import repeats_removed
 from pyspark.sql import functions as F
 
@@ -57,7 +58,9 @@ def test_hot_groups_go_on_with_longer_prefixes(spark):
         cut = r.randrange(len(own) + 1)
         rows.append((i * 3 % 61, " ".join(own[:cut] + shared + own[cut:]), "x", 1))
     _check(spark, rows, group=8)
-    _check(spark, rows, group=1)
+    _check(spark, rows, group=2)
+    with pytest.raises(ValueError):
+        _check(spark, rows, group=1)
     _check(spark, rows, group=3, depth=9, anchor=3)
 
 
