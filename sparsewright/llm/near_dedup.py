@@ -54,6 +54,8 @@ SALT_ROWS = 256
 #: Leaders of a bucket in the first round of blocks, four times as many in each that follows; how many of them
 #: a task holds, and how many members it compares with them.
 LEADERS, BLOCK, MEMBERS = 512, 128, 1024
+#: Shared shingles of a block's pairs that a task counts at once.
+HITS = 1 << 20
 #: The texts that tell frequent shingles (any choice gives the same links), and how many of these are told.
 TELLERS, FREQUENT = 512, 1 << 16
 WEIGHTING = "log"
@@ -235,10 +237,18 @@ def _within(heads: list, index: tuple, members: list, component: np.ndarray, sim
     mine, of, own = _index(members)
     start = np.searchsorted(shingle, mine, "left")
     times = np.searchsorted(shingle, mine, "right") - start
-    at = np.arange(int(times.sum())) + np.repeat(start - (np.cumsum(times) - times), times)
-    pair = np.repeat(of, times) * len(heads) + text[at]
     size = len(members) * len(heads)
-    a, b = np.bincount(pair, share[at], size), np.bincount(pair, np.repeat(own, times), size)
+    a, b = np.zeros(size), np.zeros(size)
+    ends = np.cumsum(times)
+    lo = 0
+    while lo < len(times):  # HITS of the index at a time, however many members share a shingle with all heads
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - times[lo] + HITS, "right")))
+        n = times[lo:hi]
+        at = np.arange(int(n.sum())) + np.repeat(start[lo:hi] - (np.cumsum(n) - n), n)
+        pair = np.repeat(of[lo:hi], n) * len(heads) + text[at]
+        a += np.bincount(pair, share[at], size)
+        b += np.bincount(pair, np.repeat(own[lo:hi], n), size)
+        lo = hi
     apart = (component[:, None] != np.array([h[1] for h in heads])[None, :]).ravel()
     near = np.flatnonzero(apart & (a > 0))
     near = near[1 / a[near] + 1 / b[near] <= 1 + 1 / similarity + SLACK]

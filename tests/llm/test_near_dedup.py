@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from brute import jaccard, log_jaccard, near_classes, probability_jaccard, shingle_bag
 from pyspark.sql import functions as F
 
+from sparsewright.llm import near_dedup
 from sparsewright.llm.components import components
 from sparsewright.llm.kernels import raw
 from sparsewright.llm.near_dedup import likeness, near_duplicates, prob_minhash, weighted_shingles
@@ -112,3 +114,22 @@ def test_pairs_at_exactly_the_threshold_are_linked(spark, weighting):
     assert sizes == [(12, 15), (48, 60), (80, 100), (79, 101)]
     found = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weighting=weighting).collect()}
     assert [found[2 * i] == found[2 * i + 1] for i in range(4)] == [True, True, True, False]
+
+
+def test_a_block_counts_shared_shingles_within_bounded_memory(monkeypatch):
+    """Heads and members that share nearly all shingles: 128 x 96 x 1000 hits in the index, a bounded run of them at once."""
+    r = np.random.default_rng(5)
+    common = np.sort(r.integers(0, 1 << 63, 1200, dtype=np.uint64))
+    text = lambda: (np.sort(r.choice(common, 1000, replace=False)), 1.0 + r.random(1000))
+    heads, members = [(k, k, *text()) for k in range(128)], [text() for _ in range(96)]
+    index, component = near_dedup._index([h[2:] for h in heads]), np.arange(1000, 1096)
+    near_dedup.likeness(*members[0], *members[1])
+    tracemalloc.start()
+    found = near_dedup._within(heads, index, members, component, 0.62)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    want = [(h, m) for m in range(96) for h in range(128) if near_dedup.likeness(*heads[h][2:], *members[m]) >= 0.62]
+    assert found == want and 0 < len(want) < 96 * 128
+    monkeypatch.setattr(near_dedup, "HITS", 100)
+    assert near_dedup._within(heads, index, members[:3], component[:3], 0.62) == [x for x in want if x[1] < 3]
