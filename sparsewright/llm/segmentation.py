@@ -35,7 +35,8 @@ from .token_counts import MARK, default_model, load
 
 K, SEED, ALPHA, RANK_SHIFT = 2, 17, 1.0, 2.0
 LONGEST = 16
-SLICE = 3_000_000
+#: Bytes of text whose lattice a task holds at once; a text's samples do not depend on it.
+SLICE = 1_500_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _FULL = (1 << 64) - 1

@@ -110,3 +110,28 @@ def test_query_and_last_stage_return_ids_and_decoded_texts(spark):
             assert r["decoded"] == decode(ids, v) == text[r["doc_id"]].replace(MARK, " ")
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "doc_id long, text string")
     assert {(r["doc_id"], len(r["ids"]), r["decoded"]) for r in sample_segmentations(odd, k=1).collect() if r["doc_id"] < 3} == {(1, 0, ""), (2, 0, "")}
+
+
+def test_samples_do_not_depend_on_slices_and_hold_little(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sparsewright.llm import segmentation
+
+    words = [f"w{k * 7919 % 4001}" for k in range(4001)]
+    texts = [" ".join(words[(k * 37 + j * (k % 11 + 1)) % 4001] for j in range(1500)) for k in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts), pa.array(range(400))], ["id", "text", "key"])
+    assert len("".join(texts)) > 3_000_000
+    run = segmentation._sample(segmentation.default_model(), segmentation.ALPHA, segmentation.K, segmentation.SEED, True)
+    rows = lambda: sorted(x for out in run([batch]) for x in zip(*(out.column(c).to_pylist() for c in ("id", "rank", "ids_sha256", "log_prob")), strict=True))
+    next(iter(run([batch.slice(0, 1)])))
+    tracemalloc.start()
+    for _ in run([batch]):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
+    found = rows()
+    monkeypatch.setattr(segmentation, "SLICE", 200_000)
+    assert rows() == found and len(found) == 800
