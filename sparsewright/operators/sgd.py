@@ -11,7 +11,9 @@ choose `parts` accordingly.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from copy import copy
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -20,11 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dot, md5_unit
+from . import peers
 from .checkpoint import cut, forget, load, save, scratch
 
 STRATEGIES = ("cyclic", "wor", "semi", "wr")
 #: Epochs before a training RMSE that is small enough ends a run.
 SETTLED = 8
+#: Jobs of a schedule (part, block) that one stage of peers is sent.
+PLANNED = 4_000_000
 
 
 def strata(parts: int, epoch: int, strategy: str = "cyclic", seed: int = 12345) -> list[list[int]]:
@@ -44,6 +49,10 @@ def strata(parts: int, epoch: int, strategy: str = "cyclic", seed: int = 12345)
     return [((rows + o) % parts).tolist() for o in offsets]
 
 
+#: Jobs that the scheduler looks at before it drops all that are blocked.
+LOOK = 64
+
+
 class Scheduler:
     """Hands out the least visited block whose row part and column block are free; of equals the first in `order`."""
 
@@ -51,25 +60,37 @@ class Scheduler:
         self.parts, self.visits, self.order = parts, np.zeros(parts * parts, np.int64), np.arange(parts * parts)
         self.busy_rows, self.busy_cols = np.zeros(parts, bool), np.zeros(parts, bool)
         self.rng = None if seed is None else np.random.default_rng(seed)
+        self.queue: np.ndarray | None = None
+
+    def _free(self, jobs: np.ndarray) -> np.ndarray:
+        return ~self.busy_rows[jobs // self.parts] & ~self.busy_cols[jobs % self.parts]
 
     def take(self) -> tuple[int, int] | None:
         """(part, block), which are busy until `free`; None if every block is blocked."""
-        part, block = self.order // self.parts, self.order % self.parts
-        open_ = np.flatnonzero(~self.busy_rows[part] & ~self.busy_cols[block])
-        if not len(open_):
-            return None
-        job = int(self.order[open_[self.visits[self.order[open_]].argmin()]])
-        self.visits[job] += 1
-        self.busy_rows[job // self.parts] = self.busy_cols[job % self.parts] = True
-        return job // self.parts, job % self.parts
+        if self.queue is None:  # until `free`, a block whose visits change is busy
+            self.queue = self.order[np.argsort(self.visits[self.order], kind="stable")]
+            self.queue = self.queue[self._free(self.queue)]
+        while len(self.queue):
+            ready = self._free(self.queue[:LOOK])
+            k = int(ready.argmax())
+            if ready[k]:
+                job, self.queue = int(self.queue[k]), self.queue[k + 1 :]
+                self.visits[job] += 1
+                self.busy_rows[job // self.parts] = self.busy_cols[job % self.parts] = True
+                return job // self.parts, job % self.parts
+            self.queue = self.queue[LOOK:]
+            self.queue = self.queue[self._free(self.queue)]
+        return None
 
     def free(self) -> None:
         self.busy_rows[:] = self.busy_cols[:] = False
+        self.queue = None
 
     def mix(self) -> None:
         """Another order of equals, as between rounds."""
         if self.rng is not None:
             self.order = self.rng.permutation(self.order)
+            self.queue = None
 
 
 def least_visited(parts: int, workers: int, epochs: int, seed: int | None = None) -> Iterator[list[list[int | None]]]:
@@ -189,6 +210,11 @@ def _fold(step: float, lam: float, reverse: bool, biased: bool, mean: float):
     return fold
 
 
+def _swept(lam: float, biased: bool, mean: float, step: float) -> Callable:
+    """The rule for `peers`: (w, h, i, j, v), in place."""
+    return partial(sweep_biased, step=step, lam_p=lam, lam_q=lam, mean=mean) if biased else partial(sweep, step=step, lam=lam)
+
+
 class Cells:
     """Ratings written by (part, block), each cell a folder that is read on its own."""
 
@@ -248,33 +274,50 @@ def train(t: DataFrame, factors: DataFrame, parts: int, epochs: int, lrate: floa
         strata(parts, 1, strategy, seed)  # an unknown one ends here
     elif halves != 1:
         raise ValueError("the scheduler takes whole blocks")
-    cells = Cells(t, parts, blocks)
+    ratings = cut(t.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value")))
+    n = ratings.count()
+    together = peers.workers(spark, parts, n)
+    if not together:
+        cells = Cells(ratings, parts, blocks)
+        forget(ratings)
+        ratings = cells.whole
     group = F.when(F.col("kind") == "row", F.pmod(F.col("id"), F.lit(parts))).otherwise(F.pmod(F.col("id"), F.lit(blocks))).cast("int")
     now = load(spark, folder, resume) if resume is not None else factors
-    now = cut(now.withColumn("grp", group).select("kind", F.col("id").cast("long").alias("id"), "grp", "vec"))
+    now = table = cut(now.withColumn("grp", group).select("kind", F.col("id").cast("long").alias("id"), "grp", "vec"))
     log: list[Round] = []
-    rate, before, rmse = lrate, None, math.inf
+    course = peers.Course(lrate, drate, reuse, bold, min_error, stop_rmse, settled, n)
     chosen = least_visited(parts, max(1, parts - 1), epochs, seed) if strategy == "least" else (strata(parts, e, strategy, seed) for e in range(1, epochs + 1))
+    todo = []
     for epoch, subs in enumerate(chosen, 1):
         if epoch <= (resume or 0):
             continue
-        for again in range(reuse):
-            step = rate if bold else 1.5 * lrate / (1 + drate * ((epoch - 1) * reuse + again + 1) ** 1.5)
-            for owned in subs:
-                for half in range(halves):
-                    mine = [None if b is None else b * halves + half for b in owned]
+        finer = [[None if b is None else b * halves + half for b in owned] for owned in subs for half in range(halves)]
+        todo.append((epoch, finer))
+        saved = bool(folder) and epoch % interval == 0
+        if together and not (saved or test is not None or epoch == epochs or len(todo) * parts * blocks >= PLANNED):
+            continue
+        if together:
+            old, table = table, cut(peers.swept(ratings, now, todo, parts, blocks, together, copy(course), partial(_swept, lam, biased, mean), reverse, biased, mean))
+            forget(old)
+            now = table.filter("kind <> 'log'")
+            rounds = [(int(x["vec"][0]), *x["vec"][1:]) for x in table.filter("kind = 'log'").orderBy("id").collect()]
+        else:
+            for again in range(reuse):
+                step = course.step(epoch, again)
+                for mine in finer:
                     old, now = now, cut(sub_epoch(cells.of(mine), now, mine, step, lam, reverse, biased, mean))
                     forget(old)
-        loss = loss_of(cells.whole, now, biased, mean)[0]
-        held = loss_of(test, now, biased, mean) if test is not None else None
-        last, rmse = rmse, math.sqrt(loss / max(1, cells.n))
-        log.append(Round(epoch, step, loss, rmse, math.sqrt(held[0] / held[1]) if held and held[1] else None))
-        if bold and before is not None:
-            rate *= bold[0] if loss > before else bold[1]
-        before = loss
-        if folder and epoch % interval == 0:
+            rounds = [(epoch, step, loss_of(ratings, now, biased, mean)[0])]
+        todo = []
+        for number, step, loss in rounds:
+            ended = course.ends(number, loss)
+            log.append(Round(number, step, loss, course.rmse, None))
+        if test is not None:
+            total, held = loss_of(test, now, biased, mean)
+            log[-1] = log[-1]._replace(test_rmse=math.sqrt(total / held) if held else None)
+        if saved and log[-1].epoch == epoch:
             save(now.drop("grp"), folder, epoch, protocol)
-        if (min_error is not None and abs(rmse - last) <= min_error) or (stop_rmse is not None and epoch >= settled and rmse <= stop_rmse):
+        if ended:
             break
     return now.drop("grp"), log
 

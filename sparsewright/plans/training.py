@@ -176,6 +176,11 @@ def _scaled(spark, sf, test=False):
     return X.ratings(spark, sf, test).withColumn("value", F.col("value") / 10)
 
 
+def _written(spark, sf, test=False):
+    """The same, joined and summed once for all that trainers read it for."""
+    return P.cut(_scaled(spark, sf, test))
+
+
 def _parts(t, cells: int = 100_000) -> int:
     """Parts that grow with the ratings: about `cells` of them each, two at least."""
     return max(2, -(-t.count() // cells))
@@ -183,8 +188,8 @@ def _parts(t, cells: int = 100_000) -> int:
 
 @query("t3_rmse_per_epoch")
 def _(spark, sf):
-    t = _scaled(spark, sf)
-    log = G.train(t, G.start(t, 8), 4, 2, 0.01, strategy="wor", test=_scaled(spark, sf, True))[1]
+    t = _written(spark, sf)
+    log = G.train(t, G.start(t, 8), 4, 2, 0.01, strategy="wor", test=_written(spark, sf, True))[1]
     return spark.createDataFrame([(x.epoch, x.step, x.rmse, x.test_rmse) for x in log], "epoch int, step double, rmse double, test_rmse double")
 
 
@@ -198,7 +203,7 @@ def _(spark, sf):
 
 @query("t6_biased_ratings")
 def _(spark, sf):
-    t = _scaled(spark, sf)
+    t = _written(spark, sf)
     return G.train(t, G.start(t, K, biased=True), _parts(t) + 1, 2, 0.01, strategy="least", biased=True, mean=t.agg(F.avg("value")).first()[0], bold=(0.5, 1.0))[0]
 
 
@@ -216,15 +221,15 @@ def _(spark, sf):
 
 @query("t13_rounds_ratings")
 def _(spark, sf):
-    t = _scaled(spark, sf)
-    log = G.train(t, G.start(t, K), _parts(t), 3, 0.01, 0.1, test=_scaled(spark, sf, True))[1]
+    t = _written(spark, sf)
+    log = G.train(t, G.start(t, K), _parts(t), 3, 0.01, 0.1, test=_written(spark, sf, True))[1]
     return spark.createDataFrame(log, "round int, step double, loss double, rmse double, test_rmse double")
 
 
 @query("t14_stopped_training")
 def _(spark, sf):
     """Training that ends once an epoch changes the training error by at most 2 %."""
-    t = _scaled(spark, sf)
+    t = _written(spark, sf)
     log = G.train(t, G.start(t, K), _parts(t), 12, 0.02, 0.5, min_error=0.02)[1]
     return spark.createDataFrame(log, "round int, step double, loss double, rmse double, test_rmse double")
 
@@ -240,7 +245,7 @@ def _(spark, sf):
 
 
 def _on_ratings(spark, sf, *args, **options):
-    t = _scaled(spark, sf)
+    t = _written(spark, sf)
     return G.train(t, _start(t), _parts(t), 1, 0.02, *args, **options)[0]
 
 
@@ -332,7 +337,7 @@ _SAME = "WITH {m} SELECT kind, n, 0::BIGINT AS different FROM (" + _SIDES + ")"
 
 @query("c1_sync_snapshot", _SAME.format(m=X.TRAIN))
 def _(spark, sf):
-    t = _scaled(spark, sf)
+    t = _written(spark, sf)
     return _resumed(spark, t, _parts(t), "sync")
 
 

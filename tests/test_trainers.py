@@ -1,4 +1,5 @@
 import os
+import time
 
 import numpy as np
 import pytest
@@ -417,3 +418,51 @@ def test_best_items_of_every_row(spark, monkeypatch):
     ids = {r["row"] for r in fixtures.ratings(spark, SF_RATINGS, False).select("row").distinct().collect()}
     assert {r["row"] for r in query(spark, SF_RATINGS).select("row").collect()} == ids and max(ids) > 20
     compare(spark, query, sql, SF_RATINGS)
+
+
+@pytest.mark.parametrize("options", [{"strategy": "wor", "reverse": True, "bold": (0.5, 1.05)}, {"halves": 2, "strategy": "wr", "reuse": 2}, {"strategy": "least", "biased": True, "mean": 0.1}, {"min_error": 0.01}])
+def test_peers_follow_the_sub_epochs_in_one_stage(spark, monkeypatch, options):
+    t = _low_rank(spark, 30, 20).withColumn("row", F.col("row") - 7)  # some ids below zero, parts without columns
+    start = _start(t, 3, extra=int(options.get("biased", False)))
+    written = []
+    monkeypatch.setattr(sgd, "cut", lambda df, cut=sgd.cut: written.append(1) or cut(df))
+    a, log = sgd.train(t, start, 7, 3, 0.05, 0.1, **options)
+    assert len(written) == 3  # the ratings, the first and the last factors, not those of 21 sub-epochs and more
+    monkeypatch.setattr(sgd.peers, "HELD", 0)
+    b, by_stage = sgd.train(t, start, 7, 3, 0.05, 0.1, **options)
+    a, b = ({(r["kind"], r["id"]): r["vec"] for r in f.collect()} for f in (a, b))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in b)
+    assert len(log) == len(by_stage) and all(x[:4] == pytest.approx(y[:4]) for x, y in zip(log, by_stage, strict=True))
+
+
+def test_ratings_without_factors_are_passed_over(spark):
+    t = _low_rank(spark, 12, 9)
+    start = _start(t, 3).filter("not (kind = 'row' and id = 4) and not (kind = 'col' and id in (0, 8))")
+    some = t.filter("row <> 4 and col not in (0, 8)")
+    a, b = ({(r["kind"], r["id"]): r["vec"] for r in sgd.train(x, start, 4, 1, 0.05)[0].collect()} for x in (t, some))
+    assert a == b and len(a) == 18
+    none, log = sgd.train(t.limit(0), start, 3, 2, 0.05)
+    assert none.count() == 18 and [x.loss for x in log] == [0.0, 0.0]
+
+
+def test_scheduler_of_many_parts_takes_the_least_visited(monkeypatch):
+    r = np.random.default_rng(2)
+    monkeypatch.setattr(sgd, "LOOK", 3)
+    scheduler, visits = sgd.Scheduler(9, 4), np.zeros(81, int)
+    for _ in range(60):
+        rows, cols = set(), set()
+        for _ in range(int(r.integers(1, 11))):
+            free = [k for k in scheduler.order.tolist() if k // 9 not in rows and k % 9 not in cols]
+            want = min(free, key=lambda k: visits[k]) if free else None
+            got = scheduler.take()
+            assert got == (None if want is None else (want // 9, want % 9))
+            if want is not None:
+                visits[want] += 1
+                rows.add(want // 9)
+                cols.add(want % 9)
+        scheduler.free()
+        scheduler.mix()
+    monkeypatch.undo()
+    began = time.process_time()
+    (waves,) = sgd.least_visited(200, 199, 1, 1)
+    assert sum(b is not None for w in waves for b in w) == 40_000 and time.process_time() - began < 10
