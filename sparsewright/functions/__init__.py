@@ -11,6 +11,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def scaled_round(x: Column, places: int) -> Column:
+    """`x` times a power of ten to the nearest whole number, halves away from zero, and back, all in doubles.
+
+    SQL engines that keep doubles round so; `F.round` goes by the shortest decimal form, which differs
+    where the product comes to a half.  For numbers below 2^53 once they are scaled.
+    """
+    y = F.abs(x) * float(10**places)
+    whole = F.floor(y)
+    return F.signum(x) * (whole + F.when(y - whole >= 0.5, 1).otherwise(0)).cast("double") / float(10**places)
+
+
 def squared_norm(a: Column) -> Column:
     return dot(a, a)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scaled_round
 from ..operators import ccd as C
 from ..operators import checkpoint as P
 from ..operators import sgd as G
@@ -238,7 +239,7 @@ def _(spark, sf):
     SELECT kind, id, list_transform(range(4), lambda k: round(('0x' || substr(md5('7:' || kind || ':' || id || ':' || k), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE / 2.0::DOUBLE, 12)) AS vec FROM x""")
 def _(spark, sf):
     f = G.start(X.ratings(spark, sf), 4, 7)
-    return f.select("kind", "id", F.transform("vec", lambda x: F.round(x, 12)).alias("vec"))
+    return f.select("kind", "id", F.transform("vec", lambda x: scaled_round(x, 12)).alias("vec"))
 
 
 # the trainers above that SQL follows on the tiny matrix, on the ratings
